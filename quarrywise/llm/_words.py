@@ -18,7 +18,6 @@ U = np.uint64
 PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = (np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) << U(40))
 _powers: list[np.ndarray] = []
 
 
@@ -50,8 +49,8 @@ class Alphabet:
         fold = np.arange(256)
         if lower:
             fold[65:91] += 32
-        self.fold = fold.astype(np.uint8)
-        self.value = _BYTE[fold]
+        #: Folded bytes of words, 0 for others; a NUL in a word becomes 255, which UTF-8 never has.
+        self.codes = bytes((int(f) or 255) if w else 0 for f, w in zip(fold, self.word))
         #: For bytes.translate: other bytes become spaces.
         self.table = bytes(int(f) if w else 32 for f, w in zip(fold, self.word))
 
@@ -110,15 +109,15 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().translate(alphabet.table)
 
 
-def _pieces(data: np.ndarray, fresh: np.ndarray, word: np.ndarray):
-    at, n = 0, len(data)
+def _pieces(code: np.ndarray, fresh: np.ndarray):
+    at, n = 0, len(code)
     while at < n:
         end = min(n, at + PIECE)
-        if end < n and word[end - 1] and word[end] and not fresh[end]:
+        if end < n and code[end - 1] and code[end] and not fresh[end]:
             step = 256
             while True:  # to the next place where no word goes on
                 stop = min(n, end + step)
-                gap = np.flatnonzero(~word[end:stop] | fresh[end:stop])
+                gap = np.flatnonzero((code[end:stop] == 0) | fresh[end:stop])
                 if len(gap):
                     end += int(gap[0])
                     break
@@ -134,27 +133,23 @@ def split(column, alphabet: Alphabet, prefixes: tuple[int, ...] = ()) -> tuple[W
     """All words of a column; for each k in prefixes also the values of their first k bytes."""
     data, offsets = buffer(column)
     n = len(data)
-    word = alphabet.word[data]
+    code = np.frombuffer(data.tobytes().translate(alphabet.codes), np.uint8)
     fresh = np.zeros(n + 1, bool)
     fresh[offsets[:-1]] = True
     starts, ends, values = [], [], []
     heads: list[list[np.ndarray]] = [[] for _ in prefixes]
-    for a, b in _pieces(data, fresh, word):
-        w, f = word[a:b], fresh[a:b]
-        before = np.empty(b - a, bool)
-        before[0] = False
-        before[1:] = w[:-1] & ~f[1:]
-        s = np.flatnonzero(w & ~before)
-        after = np.empty(b - a, bool)
-        after[-1] = False
-        after[:-1] = w[1:] & ~f[1:]
-        e = np.flatnonzero(w & ~after) + 1
+    for a, b in _pieces(code, fresh):
+        c = code[a:b]
+        w, f = c != 0, fresh[a:b]
+        join = w[:-1] & w[1:] & ~f[1:]  # a word goes on from this byte to the next
+        s = np.flatnonzero(w & ~np.concatenate(([False], join)))
+        e = np.flatnonzero(w & ~np.concatenate((join, [False]))) + 1
         if not len(s):
             continue
         up, down = powers(b - a + 1)
         total = np.empty(b - a + 1, np.uint64)
         total[0] = 0
-        np.cumsum(alphabet.value[data[a:b]] * up[: b - a], out=total[1:])
+        np.cumsum(up[: b - a] * c, out=total[1:])
         base, back = total[s], down[s]
         values.append(mix((total[e] - base) * back + (e - s).astype(np.uint64)))
         for k, out in zip(prefixes, heads):
