@@ -12,11 +12,13 @@ so a prefix of the ordered tokens that *covers* one more than that must share a
   The prefix is extended until it covers enough; with that many groups it always can.
   (Sets of under 16 tokens take single tokens for both classes.)
 
-Whatever share a signature are candidates.  Sorted by signature, the first set of each run is
-its pivot, and only (pivot, member) rows leave the run.  Pairs of members are compared inside the
-pivot's group with whole token sets, as a product of incidence matrices; only a spanning forest
-and link counts come out, never pairs.  A group with too many tokens for one task is cut into
-blocks, a task for each pair of blocks.  Documents with the same set are one node throughout.
+Whatever share a signature are candidates.  Sorted by signature and size, a run is cut where sizes
+leave a gap that no similar pair spans; the first set of each piece is its pivot, and only
+(pivot, member) rows leave the run.  What these rows connect is a family; its members' whole token
+sets meet once, in one task, and are compared as a product of incidence matrices.  Only a spanning
+forest and link counts come out, never pairs.  A family with too many tokens for one task is cut
+into blocks, a task for each pair of blocks; one of more than FAMILY_BLOCKS blocks is compared pivot
+by pivot instead, in blocks too.  Documents with the same set are one node throughout.
 
 Nulls and texts without words have the empty set, linked with nothing.  A null doc_id takes part
 but is never the smallest, unless a component has no other.  Repeated rows stay, as copies.
@@ -46,6 +48,8 @@ _PART = 1 << 16
 BLOCK_TOKENS = 1_000_000
 #: Members of one block.
 BLOCK_MEMBERS = 1024
+#: Families of more blocks are compared pivot by pivot.
+FAMILY_BLOCKS = 8
 #: Levels below this one (larger sets of under 16 tokens) take single tokens only.
 _LEAST_LEVEL = 4
 
@@ -199,34 +203,40 @@ def _index(shared, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = shared.value, Seen()
         for batch in batches:
-            sigs, nodes = [], []
+            sigs, nodes, sizes = [], [], []
             tokens, bounds, values = token_sets(batch.column(0), words)
             rank = ranks[(tokens & U(len(ranks) - 1)).astype(np.int64)]
             for a, b, node in zip(bounds[:-1].tolist(), bounds[1:].tolist(), values.tolist()):
                 if b > a and seen.new(node):
                     sigs.append(signatures(tokens[a:b], rank[a:b], percent))
                     nodes.append(np.full(len(sigs[-1]), node, np.int64))
+                    sizes.append(np.full(len(sigs[-1]), b - a, np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in sigs], nodes, sizes)], names=["sig", "node", "n"])
 
     return run
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature and node -> (first node of the run, other node), some of them repeated."""
-    last = pivot = None
-    for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
-            continue
-        start = np.concatenate(([last is None or sig[0] != last], sig[1:] != sig[:-1]))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
-        p = np.where(first >= 0, node[np.maximum(first, 0)], pivot if pivot is not None else 0)
-        last, pivot = sig[-1], p[-1]
-        other = p != node
-        pairs = np.unique(np.stack([p[other], node[other]], 1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "node"])
+def _pivots(percent: int):
+    """Rows sorted by signature, size and node -> (first node of each piece, other node), some of them repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            sig, node, n = (batch.column(i).to_numpy() for i in range(3))
+            if not len(sig):
+                continue
+            gap = 100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64)
+            start = np.concatenate(([last is None or sig[0] != last[0] or 100 * int(last[1]) < percent * int(n[0])], (sig[1:] != sig[:-1]) | gap))
+            first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
+            p = np.where(first >= 0, node[np.maximum(first, 0)], last[2] if last else 0)
+            last = (sig[-1], n[-1], p[-1])
+            other = p != node
+            pairs = np.unique(np.stack([p[other], node[other]], 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "node"])
+
+    return run
 
 
 def _sets_of(words: int):
@@ -286,7 +296,7 @@ def group_links(nodes, blocks, pivots, sets, pivot: int, low: int, high: int, pe
 
 
 def _links(percent: int):
-    """Rows sorted by (pivot, low, high) -> (node, root, links)."""
+    """Rows sorted by (pivot, low, high, node) -> (node, root, links)."""
 
     def settle(key, rows):
         nodes = np.array([r[0] for r in rows], np.int64)
@@ -306,7 +316,8 @@ def _links(percent: int):
                     if len(rows) > 1:
                         out += settle(key, rows)
                     key, rows = (p, low, high), []
-                rows.append(row)
+                if not rows or row[0] != rows[-1][0]:
+                    rows.append(row)
             if len(out) > 10_000:
                 yield packed(out)
                 out = []
@@ -336,6 +347,35 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _blocks_of(size: DataFrame) -> DataFrame:
+    """size (pivot, tokens, members) with the number of blocks each group is cut into."""
+    blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("members") / BLOCK_MEMBERS)).cast("int")
+    return size.select("pivot", blocks.alias("blocks"))
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (pivot, node, blocks, pivots) -> a row for each pair of blocks that a member is compared in."""
+    df = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return df.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block", "pivots")
+
+
+def _groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Which nodes meet in which task: whole families (members: node, root, n), or pivots of the largest ones."""
+    size = members.groupBy(F.col("root").alias("pivot")).agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
+    size = C.materialize(_blocks_of(size), "families")
+    small = size.filter(F.col("blocks") <= FAMILY_BLOCKS)
+    whole = members.select(F.col("root").alias("pivot"), "node").join(small, "pivot").withColumn("pivots", F.array().cast("array<bigint>"))
+    if size.filter(F.col("blocks") > FAMILY_BLOCKS).limit(1).count() == 0:
+        return C.materialize(_dealt(whole), "groups")
+    large = members.join(size.filter(F.col("blocks") > FAMILY_BLOCKS).select(F.col("pivot").alias("root")), "root", "left_semi").select("node", "n")
+    stars = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("node")).distinct()).join(large, "node")
+    blocks = _blocks_of(stars.groupBy("pivot").agg(F.sum("n").alias("tokens"), F.count("*").alias("members")))
+    pivots = stars.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    by_pivot = stars.select("pivot", "node").join(blocks, "pivot").join(pivots, "node")
+    return C.materialize(_dealt(whole).unionByName(_dealt(by_pivot)), "groups")
+
+
 def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, partitions: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), n_links (other distinct sets linked)."""
     spark = documents.sparkSession
@@ -346,25 +386,20 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, parti
     rows = surveyed.filter(F.col("part").isNull()).select("doc_id", "node", "n")
     ranks = spark.sparkContext.broadcast(_ranks(surveyed))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = docs.select("text").mapInArrow(_index(ranks, words, percent), "sig bigint, node bigint")
-    runs = index.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    pairs = C.materialize(runs.mapInArrow(_pivots, "pivot bigint, node bigint").distinct(), "pairs")
-    members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
+    index = docs.select("text").mapInArrow(_index(ranks, words, percent), "sig bigint, node bigint, n int")
+    runs = index.repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
+    pairs = C.materialize(runs.mapInArrow(_pivots(percent), "pivot bigint, node bigint").distinct(), "pairs")
 
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    wanted = members.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
-    wanted = C.materialize(wanted.join(nodes, "node"), "members")
-    size = members.join(wanted.select("node", "n"), "node").groupBy("pivot").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
-    blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("members") / BLOCK_MEMBERS)).cast("int")
-    dealt = members.join(size.select("pivot", blocks.alias("blocks")), "pivot")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block")
-
-    rep = wanted.select(F.col("doc_id").alias("rep"))
-    texts = docs.join(C.maybe_broadcast(rep), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets_of(words), "node bigint, tokens binary").dropDuplicates(["node"])
-    full = dealt.join(wanted.select("node", "pivots"), "node").join(sets, "node").select("pivot", "low", "high", "node", "block", "pivots", "tokens")
-    found = full.repartition(parts, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high").mapInArrow(_links(percent), "node bigint, root bigint, links bigint")
+    families = components(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+    members = C.materialize(families.join(nodes, "node"), "members")
+    groups = _groups(members, pairs)
+    rep = C.maybe_broadcast(members.select(F.col("doc_id").alias("rep")))
+    texts = docs.join(rep, docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets_of(words), "node bigint, tokens binary")
+    full = sets.join(C.maybe_broadcast(groups), "node").select("pivot", "low", "high", "node", "block", "pivots", "tokens")
+    found = full.repartition(parts, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node").mapInArrow(_links(percent), "node bigint, root bigint, links bigint")
     found = C.materialize(found, "links")
 
     roots = components(found.filter("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
