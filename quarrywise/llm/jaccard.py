@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join by token-combination prefixes, as components and link counts.
 
 A document's tokens are its distinct 5-word shingles (64-bit values).  One pass counts all
-tokens in a sketch of fixed size, which splits them into classes: rare ones (their estimate
-is within the sketch's noise) and frequent ones, ordered after the rare by estimate.
+tokens in a sketch of fixed size.  Tokens are ordered by estimate, then value, in two classes: rare ones (their
+estimate is within the sketch's noise) and frequent ones.
 Two sets of Jaccard similarity t or more differ in at most ``n - ceil(t n)`` tokens of either,
 so a prefix of the ordered tokens that *covers* one more than that must share a signature:
 
@@ -44,6 +44,8 @@ PERCENT = 75
 #: Counters of the sketch are 2 ** SKETCH_BITS bytes at each task.
 SKETCH_BITS = 22
 _PART = 1 << 16
+#: The least rank of frequent tokens.
+FREQUENT = 128
 #: Tokens of one block of a group: 8 MB of values.
 BLOCK_TOKENS = 1_000_000
 #: Members of one block.
@@ -151,17 +153,17 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranks(surveyed: DataFrame) -> np.ndarray:
-    """A byte for each counter: 0 rare, else by the logarithm of its count.  4 MB, whatever the input."""
+    """A byte for each counter, rising with its count: under FREQUENT for rare ones.  4 MB, whatever the input."""
     parts = surveyed.filter(F.col("part").isNotNull()).select("part", "counts").repartition(16, "part").mapInArrow(_summed, "part int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in parts.collect():  # at most 64 rows of 256 kB
         counts[row["part"] * _PART : (row["part"] + 1) * _PART] += np.frombuffer(row["counts"], np.uint32)
     mean = counts.mean()
     most = mean + 6 * mean**0.5 + 4
-    rank = np.zeros(len(counts), np.uint8)
+    rank = np.floor(counts * (FREQUENT - 1) / most)
     high = counts > most
-    rank[high] = 1 + np.floor(4 * np.log2(counts[high] / most)).astype(np.uint8)
-    return rank
+    rank[high] = FREQUENT + np.minimum(np.floor(4 * np.log2(counts[high] / most)), 255 - FREQUENT)
+    return rank.astype(np.uint8)
 
 
 def _level(n: int) -> int:
@@ -172,11 +174,12 @@ def signatures(s: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.nd
     """The signatures of a sorted set, given its tokens' ranks."""
     n = len(s)
     need = n - (percent * n + 99) // 100 + 1
-    rare = s[rank == 0][:need]
+    order = np.argsort(rank, kind="stable")
+    n_rare = int(np.count_nonzero(rank < FREQUENT))
+    rare = s[order[: min(n_rare, need)]]
     if len(rare) == need:
         return rare
-    often = np.flatnonzero(rank)
-    often = s[often[np.argsort(rank[often], kind="stable")]]
+    often = s[order[n_rare:]]
     out = [rare]
     for level in {_level(n), _level(n * 100 // percent)}:
         if level < _LEAST_LEVEL:
