@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard
+from . import decontaminate, jaccard, packing, quality, secrets, sharding, tiff, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_tiff_media": tiff.op4_tiff_media,
+    "op5_packing": packing.op5_packing,
+    "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_sharding": sharding.op7_sharding,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
