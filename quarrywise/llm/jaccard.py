@@ -415,6 +415,19 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, parti
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each linked group: the one with the smallest doc_id (one row, if that id is repeated in the group).
+
+    Documents without words are linked with nothing and all stay.
+    """
+    row = C.fresh(documents, "__row")
+    kept = C.materialize(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ids = kept.select(F.struct("doc_id", row).alias("doc_id"), "text")
+    groups = join(ids, words, percent)
+    first = groups.filter((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).select(F.col(f"doc_id.{row}").alias(row))
+    return kept.join(C.maybe_broadcast(first), row, "left_semi").select(*C.quoted(documents.columns))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(C.table(spark, sf_dir, "documents"))
 
