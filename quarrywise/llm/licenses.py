@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: A document or sentence without any of these is not looked at.
-WORDS = ("licen", "copyright", "spdx", "permission is hereby", "redistribut", "warrant", "public domain", "as is", "all rights reserved", "unlicense")
+WORDS = ("licen", "copyright", "spdx", "permission is hereby", "redistribut", "warrant", "public domain", "all rights reserved", "unlicense")
 #: Known licence sentences, as patterns over normalised text; the first that matches names it.
 SENTENCES = (
     ("spdx-mit", r"spdx license identifier mit\b"),
