@@ -14,9 +14,10 @@ table gives no rows.  Only doc_id (any type, null too) and text are read.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from . import _common as C
 WINDOW = 4096
 END_ID = 2
 BUCKET_ROWS = 4000
-#: Words whose ids a worker remembers: about 60 MB.
-CACHE_WORDS = 250_000
+#: Chunks in each of two generations that a worker remembers: about 80 MB.
+CACHE_WORDS = 300_000
 _tokenizers: dict[str, "WordEncoder"] = {}
 
 
@@ -41,54 +42,90 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of a tokenizer that drops white space and never joins what it separates, word by word.
+    """Ids of a tokenizer that lower-cases, drops white space and ends words by tokens of their own.
 
-    Exact for such tokenizers: each blank-separated chunk is encoded once and remembered.
+    Each blank-separated chunk of the lower-cased text is encoded once and remembered as bytes, in two
+    generations, so that what is in use stays.  New plain words are encoded many at once, in one string, and
+    told apart by their ending tokens.  Texts for which this could differ from the tokenizer go to it whole:
+    with special tokens, a capital sigma, separators it does not know, or not in composed form.
     """
 
+    #: Characters of texts whose words are looked up together.
+    TOGETHER = 1 << 21
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, words: list[str]) -> None:
+        """Words of letters only, which are one pre-token each."""
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(some):
+                self.known.update((w, self._ids(w)) for w in some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * at).tolist()):
+                self.known[w] = raw[start:end]
+                start = end
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE_WORDS:
-            self.known.clear()
-        tails: dict[str, tuple[str, str]] = {}
-        plain = set()
-        for x in chunks:
-            core = x[:-1].lower()
-            if x[-1] in ".," and core.isascii() and core.isalpha():
-                tails[x] = (core, x[-1])
-                plain |= {core, x[-1]}
-            elif x.isascii() and x.isalpha():
-                tails[x] = (x.lower(), "")
-                plain.add(x.lower())
+        """Make all of chunks known."""
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        older, known = self.older, self.known
+        new = []
+        for x in chunks - known.keys():
+            ids = older.get(x)
+            if ids is None:
+                new.append(x)
             else:
-                plain.add(x)
-        todo = [x for x in plain if x not in self.known]
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self.known[x] = tuple(e.ids)
-        for x, (core, tail) in tails.items():
-            self.known[x] = self.known[core] + (self.known[tail] if tail else ())
+                known[x] = ids
+        tailed = {x: x[:-1] for x in new if x[-1] in ".,;:!?" and x[:-1].isalpha()}
+        plain = {x for x in new if x.isalpha()} | set(tailed.values())
+        for x in list(plain & older.keys()):
+            known[x] = older[x]
+        self._plain(sorted(plain - known.keys()))
+        for x in new:
+            if x in tailed:
+                if x[-1] not in known:
+                    known[x[-1]] = self._ids(x[-1])
+                known[x] = known[tailed[x]] + known[x[-1]]
+            elif x not in known:
+                known[x] = self._ids(x)
+
+    def _words(self, text: str) -> list[str] | None:
+        """The chunks of a text, or None if it must be encoded whole."""
+        if "<|" in text or "\u03a3" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        low = text.lower()
+        if not text.isascii() and not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            return None
+        return low.split()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            # U+001C to U+001F part words for str.split but not for the tokenizer
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            chunks = text.split()
-            try:
-                found = list(map(self.known.__getitem__, chunks))
-            except KeyError:
-                for at in range(0, len(chunks), CACHE_WORDS // 2):
-                    self._learn({x for x in chunks[at : at + CACHE_WORDS // 2] if x not in self.known})
-                try:
-                    found = list(map(self.known.__getitem__, chunks))
-                except KeyError:  # a text with more different words than are remembered at once
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                    continue
-            yield np.fromiter(chain.from_iterable(found), np.uint32)
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= self.TOGETHER):
+                size += len(texts[end])
+                end += 1
+            split = [self._words(t) for t in texts[at:end]]
+            self._learn(set().union(*(w for w in split if w)))
+            for text, words in zip(texts[at:end], split):
+                raw = self._ids(text) if words is None else b"".join(map(self.known.__getitem__, words))
+                yield np.frombuffer(raw, "<u4")
+            at = end
 
 
 def encoder(path: str) -> WordEncoder:
