@@ -452,10 +452,10 @@ def search_filtered(spark, d):
     return search.top(_scoped(spark, d), 15).select("rank", F.col("doc").alias("doc_id"), "score")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)@example\\.(com|org|net)')")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)@mail')")
 def entity_semijoin(spark, d):
     df = docs(spark, d)
-    hits = df.filter(F.rlike("text", F.lit(r"(?i)@example\.(com|org|net)"))).select("doc_id", F.lit("example").alias("normalized_text"))
+    hits = df.filter(F.rlike("text", F.lit(r"(?i)@mail"))).select("doc_id", F.lit("example").alias("normalized_text"))
     return search.with_entities(df, hits, ["Example"]).select("doc_id")
 
 
