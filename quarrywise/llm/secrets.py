@@ -33,8 +33,11 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 6
 #: Limits of the mean and of the whole log-likelihood ratio (natural logarithms).
-LEAST_MEAN = 0.75
-LEAST_TOTAL = 20.0
+LEAST_MEAN = 0.25
+LEAST_TOTAL = 6.0
+#: Characters that candidates are made of, and how many pairs a character's own odds count as.
+ALPHABET = 66
+BACKOFF = 8.0
 SAMPLES = 4000
 SAMPLE_DOCS = 2000
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -95,8 +98,11 @@ def train(samples: DataFrame) -> list[float]:
     table = {True: [[0] * 128 for _ in range(128)], False: [[0] * 128 for _ in range(128)]}
     for r in counts.collect():
         table[r["random"]][r["a"]][r["b"]] = r["count"]
-    alphabet = 66
-    log = {k: [[math.log((n + 0.5) / (sum(row) + 0.5 * alphabet)) for n in row] for row in rows] for k, rows in table.items()}
+    log = {}
+    for k, rows in table.items():  # a pair's odds lean on the second character's own where the first is rare
+        whole = sum(map(sum, rows))
+        single = [(sum(row[b] for row in rows) + 0.5) / (whole + 0.5 * ALPHABET) for b in range(128)]
+        log[k] = [[math.log((n + BACKOFF * p) / (sum(row) + BACKOFF)) for n, p in zip(row, single)] for row in rows]
     return [round(x - y, 4) for p, q in zip(log[True], log[False]) for x, y in zip(p, q)]
 
 
