@@ -37,6 +37,8 @@ SPAN = 2
 #: Tasks that sum context vectors of the sample: each sends BUCKETS * DIMENSIONS numbers (6 MB) to the driver.
 TASKS = 8
 HIDDEN = 24
+#: Steps of a fit, however small the sample.
+LEAST_STEPS = 600
 _CAPITALS = 0
 
 
@@ -152,6 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 60, batc
     m = {k: np.zeros_like(getattr(net, k)) for k in names}
     v = {k: np.zeros_like(getattr(net, k)) for k in names}
     step = 0
+    epochs = max(epochs, LEAST_STEPS * batch // max(n, 1))
     for epoch in range(epochs):
         order = rng.permutation(n)
         for i in range(0, n, batch):

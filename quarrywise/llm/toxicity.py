@@ -39,7 +39,7 @@ def _leet() -> Alphabet:
     """Letters, with digits and signs that stand for letters read as those."""
     alphabet = Alphabet(ALNUM.word)
     codes = bytearray(alphabet.codes)
-    for sign, letter in zip("01345$@!", "oieassai"):
+    for sign, letter in zip("01345$@", "oieassa"):
         codes[ord(sign)] = ord(letter)
     alphabet.codes = bytes(codes)
     return alphabet
