@@ -70,6 +70,10 @@ def _local(node) -> str:
     return node.tag.rsplit("}", 1)[-1]
 
 
+def _nodes(root, name: str) -> list:
+    return [n for n in root.iter() if _local(n) == name] if root is not None else []
+
+
 def _xml_text(raw: bytes) -> str:
     words = []
     for node in ElementTree.fromstring(raw).iter():
@@ -107,13 +111,13 @@ def xlsx(raw: bytes) -> Extracted:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         parts = z.namelist()
         tree = lambda part: ElementTree.fromstring(z.read(part)) if part in parts else None
-        strings = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in (tree("xl/sharedStrings.xml") or ()) if _local(si) == "si"]
+        strings = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in _nodes(tree("xl/sharedStrings.xml"), "si")]
         book = tree("xl/workbook.xml")
-        titles = [n.attrib["name"] for n in book.iter() if _local(n) == "sheet" and n.attrib.get("name")] if book is not None else []
+        titles = [n.attrib["name"] for n in _nodes(book, "sheet") if n.attrib.get("name")]
         for i, part in enumerate(sorted(n for n in parts if re.match(r"xl/worksheets/sheet\d+\.xml", n))):
             names.append(titles[i] if i < len(titles) else f"Sheet{i + 1}")
             lines.append(f"Sheet: {names[-1]}")
-            rows = [n for n in tree(part).iter() if _local(n) == "row"]
+            rows = _nodes(tree(part), "row")
             for k, row in enumerate(rows[:SHEET_ROWS], 1):
                 cells = []
                 for cell in (c for c in row if _local(c) == "c"):

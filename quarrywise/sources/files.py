@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,28 +35,38 @@ def scan(spark: SparkSession, folder: str, leave_out: str | None = None) -> Data
     """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(root).toString().rstrip("/")
-    out = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(leave_out)).toString().rstrip("/") if leave_out else None
-    found, files = [], fs.listFiles(root, True)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = store.makeQualified(root).toString().rstrip("/")
+    out = store.makeQualified(jvm.org.apache.hadoop.fs.Path(leave_out)).toString().rstrip("/") if leave_out else None
+    found, empty, files = [], [], store.listFiles(root, True)
     while files.hasNext():
-        path = files.next().getPath().toString()
+        status = files.next()
+        path = status.getPath().toString()
         if wanted(path[len(base) + 1 :]) and not (out and path.startswith(out + "/")):
-            found.append(path)
+            (found if status.getLen() else empty).append(path)
     schema = "path string, content binary"
-    if not found:
-        return spark.createDataFrame([], schema)
     plain = [p for p in found if not p.rsplit("/", 1)[-1].startswith("_")]
     hidden = [p for p in found if p.rsplit("/", 1)[-1].startswith("_")]
     parts = [spark.read.format("binaryFile").load(group).select("path", "content") for group in ([plain] if plain else [])]
-    if hidden:  # Spark's reader leaves these out
-        rows = spark.sparkContext.binaryFiles(",".join(hidden)).map(lambda x: (x[0], bytearray(x[1])))
-        parts.append(spark.createDataFrame(rows, schema))
-    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if empty or not found:  # Spark's reader leaves out empty files
+        parts.append(spark.createDataFrame([(p, b"") for p in empty], schema))
+    if hidden:  # and names with an underscore
+        parts.append(spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(_read, schema))
+    df = reduce(DataFrame.unionByName, parts)
     normal = F.regexp_replace("path", "^file:/+", "/")
     return df.select(F.substring(normal, len(base.replace("file://", "").replace("file:", "")) + 2, 1 << 20).alias("path"), "content")
 
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        content = []
+        for path in pdf["path"]:
+            store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            with store.open_input_stream(place) as f:
+                content.append(f.read())
+        yield pdf.assign(content=content)
+
+
 DOCUMENT = "path string, size_bytes bigint, sha256 string, doc_type string, canonical_text string, topic_text string, ranges array<struct<start:bigint,end:bigint>>, extraction_method string, warnings array<string>, metadata map<string,string>, ocr_confidence double"
 
 
@@ -63,8 +77,6 @@ def documents(files: DataFrame, parsers: dict[str, Callable[[bytes], Extracted]]
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for pdf in batches:
             rows = []
             for path, raw in zip(pdf["path"], pdf["content"]):
