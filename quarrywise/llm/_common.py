@@ -65,7 +65,7 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches small enough that a worker's memory stays bounded with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

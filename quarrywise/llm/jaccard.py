@@ -420,10 +420,14 @@ def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Documents without words are linked with nothing and all stay.
     """
+    groups = C.materialize(join(documents, words, percent), "groups")
+    repeated = groups.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not repeated:  # a doc_id tells a row: only the ids that go are joined
+        gone = groups.filter((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select("doc_id")
+        return documents.join(C.maybe_broadcast(gone), "doc_id", "left_anti").select(*C.quoted(documents.columns))
     row = C.fresh(documents, "__row")
     kept = C.materialize(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
-    ids = kept.select(F.struct("doc_id", row).alias("doc_id"), "text")
-    groups = join(ids, words, percent)
+    groups = join(kept.select(F.struct("doc_id", row).alias("doc_id"), "text"), words, percent)
     first = groups.filter((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).select(F.col(f"doc_id.{row}").alias(row))
     return kept.join(C.maybe_broadcast(first), row, "left_semi").select(*C.quoted(documents.columns))
 

@@ -89,6 +89,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 5, 8, 9] and df.columns == kept[0].__fields__
 
 
+def test_one_of_each_group_stays_where_ids_are_unique(spark):
+    rows = [(3, "a b c d e f g h"), (1, "A b c d e f g h"), (5, "other words"), (8, ""), (9, None)]
+    df = spark.createDataFrame([(t, i, i * 2) for i, t in rows], "text string, doc_id long, n_links int")
+    kept = jaccard.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 8, 9]
+
+
 def test_words_match_regular_expressions():
     r = random.Random(3)
     texts = ["".join(r.choice("aB9é日 \n\t.,\x00\x7f-_Z") for _ in range(r.randrange(0, 80))) for _ in range(300)] + ["x" * 700_000 + " y", None]
