@@ -115,7 +115,7 @@ class CorpusIndex:
         matched = F.size(T.matched_terms(text, terms))
         best = self.table("chunks").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "rank").agg(F.max_by(F.struct("page_number", "char_start", "text"), F.struct(matched, -F.col("char_start"))).alias("c")).select("doc_id", "rank", "c.*")
         hit = T.first_hit(text, terms, F.lit(0), F.length("text"))
-        rows = best.withColumn("r", T.excerpt_range(text, hit["start"], hit["end"], target, most)).orderBy("rank").limit(n)
+        rows = best.orderBy("rank").limit(n).withColumn("h", hit).withColumn("r", T.excerpt_range(text, F.col("h.start"), F.col("h.end"), target, most))
         rows = rows.select("doc_id", "page_number", (F.col("char_start") + F.col("r.start")).alias("char_start"), (F.col("char_start") + F.col("r.end")).alias("char_end"), T.substring(text, F.col("r.start"), F.col("r.end")).alias("text"))
         return [{"snippet_id": f"SNIP-{topic_id}-{r['doc_id']}-p{r['page_number']:04d}-{r['char_start']:07d}", **r.asDict()} for r in rows.collect()]
 
@@ -215,8 +215,8 @@ class CorpusIndex:
             rows = ranked.join(placed, "unit")
             whole = F.col("canonical_text")
             hit = T.first_hit(whole, terms or [" "], F.col("char_start"), F.col("char_end"))
-            span = T.excerpt_range(whole, hit["start"], hit["end"], 420, 650)
-            rows = rows.withColumns({"matched_terms": T.matched_terms(T.substring(whole, F.col("char_start"), F.col("char_end")), terms), "s": span})
+            span = T.excerpt_range(whole, F.col("h.start"), F.col("h.end"), 420, 650)
+            rows = rows.withColumns({"matched_terms": T.matched_terms(T.substring(whole, F.col("char_start"), F.col("char_end")), terms), "h": hit}).withColumn("s", span)
             rows = rows.select("rank", F.col("doc").alias("doc_id"), "title", "doc_type", "source_batch", "score", "page_number", "char_start", "char_end", "matched_terms", F.struct(F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), T.substring(whole, F.col("s.start"), F.col("s.end")).alias("text")).alias("snippet"))
             results = [r.asDict(recursive=True) for r in rows.orderBy("rank").collect()]
             for r in results:
@@ -333,8 +333,8 @@ class HybridIndex:
         ranked = by_word() if mode == "keyword" else by_vector() if mode == "vector" else hybrid.fuse(by_word(), by_vector(), "chunk_id", wide)
         text = F.col("text")
         hit = T.first_hit(text, terms or [query.lower()], F.lit(0), F.length("text"))
-        s = T.excerpt_range(text, hit["start"], hit["end"], snippet_chars, snippet_chars)
-        best = ranked.filter(F.col("rank") <= limit + 1).join(rows, "chunk_id").withColumn("s", s)
+        s = T.excerpt_range(text, F.col("h.start"), F.col("h.end"), snippet_chars, snippet_chars)
+        best = ranked.filter(F.col("rank") <= limit + 1).join(rows, "chunk_id").withColumn("h", hit).withColumn("s", s)
         best = best.select("rank", F.round("score", 6).alias("score"), "chunk_id", "doc_id", "title", "doc_type", "source_batch", "source_uri", "page_number", "entity_keys", (F.col("char_start") + F.col("s.start")).alias("char_start"), (F.col("char_start") + F.col("s.end")).alias("char_end"), T.substring(text, F.col("s.start"), F.col("s.end")).alias("snippet"), T.matched_terms(text, terms).alias("matched_terms"))
         found = [r.asDict() for r in best.orderBy("rank").collect()]
         for r in found:
