@@ -7,8 +7,8 @@ Base kinds, leftmost and not overlapping within a kind:
 more), ``hex`` (24 or more of 0-9a-f).
 
 Method: two first-order character models, of random strings and of ordinary identifiers, learned
-from labelled samples (columns ``sample`` string, ``random`` boolean).  A run of 20 or more characters
-that could be a key is a span of kind ``markov`` if its mean log-likelihood ratio and its whole
+from labelled samples (columns ``sample`` string, ``random`` boolean).  A run of 16 or more characters
+that could be a key, also right after ``=``, is a span of kind ``markov`` if its mean log-likelihood ratio and its whole
 ratio exceed two limits and it touches no base span.  The query's samples are bounded: SAMPLES
 random strings made by hashing numbers, and the words of about SAMPLE_DOCS documents, taken by the
 hash of doc_id; all documents are scanned.
@@ -29,7 +29,8 @@ from . import _common as C
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A run may start after a sign ("name=value"); "=" is its padding only where the run ends with it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 6
 #: Limits of the mean and of the whole log-likelihood ratio (natural logarithms).
@@ -111,8 +112,8 @@ def markov_spans(text: Column, ratios: list[float]) -> Column:
     weights = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     runs = _spans(text, CANDIDATE, 3)
 
-    def score(span: Column) -> Column:
-        run = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+    def score(span: Column) -> Column:  # padding is no part of what the models know
+        run = F.rtrim(F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")), F.lit("="))
         codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
         pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.get(weights, a * 128 + b))
         return F.aggregate(pairs, F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))

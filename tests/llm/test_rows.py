@@ -125,6 +125,19 @@ def test_models_tell_random_from_ordinary(spark, ratios):
     assert got == {1: [3], 2: [], 3: []}
 
 
+def test_random_values_after_a_sign_and_shorter_ones(spark, ratios):
+    key, padded = "q7RtY2mKx9Zp4LwV8bNc3HdF", "q7RtY2mKx9Zp4LwV8bNc3Q=="
+    aws = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ8vT2mLk0Hs"
+    cases = [(f"AUTH={key}", key), (f"GET /x?sig={key}&n=1", key), (f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"[s]\nname = x\nauth={padded}\n", padded), (f"a={padded} b", padded)]
+    cases += [(f"id {key[:n]} end", key[:n]) for n in range(16, 20)] + [(f"sig={key[:n]}", key[:n]) for n in range(16, 20)]
+    cases += [("mode=internationalization_configuration", None), ("internationalization_configuration=transformation", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r["all"]] for r in secrets.find(df, ratios).collect()}
+    assert got == {i: [want] if want else [] for i, (_, want) in enumerate(cases)}
+    masked = {r.doc_id: r.text for r in secrets.redact(df, ratios).collect()}
+    assert masked == {i: t.replace(want, "[secret]") if want else t for i, (t, want) in enumerate(cases)}
+
+
 def test_redaction(spark, ratios):
     rows = [(1, "a password=abcdef12 b " + "0f" * 14 + " é AKIA" + "Z9" * 10), (2, "clean"), (3, None)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, base int")
