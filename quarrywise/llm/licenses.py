@@ -1,9 +1,12 @@
 """Licence recognition by sentences and rules, with DataFrame functions only.
 
-A text that has a licence word anywhere is cut into sentences (at line ends and after . ! ? ; before
-white space).  A sentence is normalised: ASCII lower case, everything but a-z, 0-9, + and . to single
-spaces, outer dots dropped.  SENTENCES maps it to the identifier of the first pattern it contains; one
-with a licence word and no identifier is UNKNOWN.  The document's identifiers, in order, are
+A text that has a licence word anywhere is cut into blocks (at blank lines and after . ! ? ; before
+white space, but not after "v.") and these into pieces at line ends.  A piece is normalised: ASCII lower
+case, everything but a-z, 0-9, + and . to single spaces, outer dots dropped.  SENTENCES maps it to the
+identifier of the first pattern it contains; one with a licence word and no identifier is UNKNOWN.
+A pattern that only the joined pieces of a block contain is an identifier too (a wrapped sentence), and
+UNKNOWN pieces (and those that begin like "copyright notice") that it covers, or that go on after an identified sentence of the block, are no sentences
+of their own.  The SQL cuts at every line end, and differs where sentences are wrapped.  The document's identifiers, in order, are
 matched with the ordered RULES: each rule that finds its sequence in what is left takes it out
 (every time it occurs) and names its licence.  Identifiers no rule takes leave the licence
 ``UNMATCHED``.  One narrow pass, no shuffle, nothing collected.
@@ -104,7 +107,17 @@ RULES = (
 )
 UNKNOWN, UNMATCHED = "UNKNOWN", "UNMATCHED"
 _ANY = "(?i)" + "|".join(WORDS)
+#: The same in running text, where the words of one may be wrapped; and what a normalised block must hold.
+_LOOSE = _ANY.replace(" ", "[^A-Za-z0-9]+")
+_HOLDS = _ANY + "|" + "|".join(p for _, p in SENTENCES)
 _END = r"[\r\n\f]+|[.!?;][ \t\r\n\f]+"
+#: Ends of blocks: lines without letters and digits, and sentence ends that are not the dot of "v.".
+_HARD = r"(?:\r\n|[\r\n\f])(?:[^A-Za-z0-9\r\n\f]*(?:\r\n|[\r\n\f]))+|(?<!\b[vV])[.!?;][ \t\r\n\f]+"
+_PLACES = "array<struct<at:int,end:int,k:int,loose:boolean>>"
+#: How a piece begins that says "copyright" only because its sentence was wrapped there.
+_WITHIN = r"^copyright (notice|holder|owner|law|licen)"
+#: Identifiers that are a line of their own: what follows them is not their sentence.
+_LINES = [k for k, (n, _) in enumerate(SENTENCES) if n.startswith("spdx-") or n in ("reserved", "copyright")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,18 +126,54 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(plain, r"^[ .]+|[ .]+$", "")
 
 
-def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence."""
-    found = F.when(F.rlike(sentence, F.lit(SENTENCES[0][1])), SENTENCES[0][0])
-    for name, pattern in SENTENCES[1:]:
-        found = found.when(F.rlike(sentence, F.lit(pattern)), name)
-    return found.otherwise(UNKNOWN)
+def _first(sentence: Column) -> Column:
+    """The place in SENTENCES of a normalised piece's identifier; that of UNKNOWN if it has a licence word only, else null."""
+    found = F.when(F.rlike(sentence, F.lit(SENTENCES[0][1])), 0)
+    for k, (_, pattern) in enumerate(SENTENCES[1:], 1):
+        found = found.when(F.rlike(sentence, F.lit(pattern)), k)
+    return found.when(F.rlike(sentence, F.lit(_ANY)), len(SENTENCES))
+
+
+def _block(block: Column) -> Column:
+    """Identifiers of one block: those of its pieces, and those that only its joined pieces hold, by place."""
+    pieces = F.filter(F.transform(F.split(block, _END, -1), normalised), lambda s: s != "")
+    return F.get(F.transform(F.array(pieces), lambda own: _joined(own, F.concat_ws(" ", own))), F.lit(0))
+
+
+def _joined(pieces: Column, whole: Column) -> Column:
+    place = lambda at, s: F.struct(at.alias("at"), (at + F.length(s)).alias("end"), _first(s).alias("k"), F.rlike(s, F.lit(_WITHIN)).alias("loose"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast(_PLACES).alias("out"))
+    own = F.aggregate(pieces, begin, lambda d, s: F.struct((d["at"] + F.length(s) + 1).alias("at"), F.concat(d["out"], F.array(place(d["at"], s)).cast(_PLACES)).alias("out")))["out"]
+    own = F.filter(own, lambda x: x["k"].isNotNull())
+
+    def match(k: int, pattern: str) -> Column:
+        at = F.regexp_instr(whole, F.lit(pattern))
+        wrapped = ~F.exists(pieces, lambda s: F.rlike(s, F.lit(pattern)))
+        return F.when((F.size(pieces) > 1) & F.rlike(whole, F.lit(pattern)), F.struct(at.alias("at"), (at + F.length(F.regexp_substr(whole, F.lit(pattern)))).alias("end"), F.lit(k).alias("k"), wrapped.alias("wrapped")))
+
+    matches = F.filter(F.array(*[match(k, p) for k, (_, p) in enumerate(SENTENCES)]), lambda m: m.isNotNull())
+    return F.get(F.transform(F.array(F.struct(own.alias("own"), matches.alias("m"))), lambda b: _merged(b["own"], b["m"])), F.lit(0))
+
+
+def _merged(own: Column, matches: Column) -> Column:
+    """Of matches that begin at one place the first in SENTENCES stands, as in a piece."""
+    better = lambda at, k: F.exists(matches, lambda m: (m["at"] == at) & (m["k"] < k))
+    wrapped = F.filter(matches, lambda m: m["wrapped"] & ~better(m["at"], m["k"]))
+    beaten = lambda x: F.exists(wrapped, lambda w: F.exists(matches, lambda m: (m["k"] == x["k"]) & (m["at"] == w["at"]) & (w["k"] < x["k"])))
+    own = F.filter(own, lambda x: ~beaten(x))
+    added = F.transform(wrapped, lambda w: F.struct(w["at"].alias("at"), w["end"].alias("end"), w["k"].alias("k"), F.lit(False).alias("loose")))
+    open_ = lambda x: (x["k"] == len(SENTENCES)) | (x["loose"] & (x["k"] == len(SENTENCES) - 1))
+    known = F.concat(F.filter(own, lambda x: ~open_(x)), added)
+    goes_on = lambda x: F.exists(known, lambda y: (y["at"] < x["at"]) & ~y["k"].isin(_LINES)) | F.exists(added, lambda y: (y["at"] < x["end"]) & (x["at"] < y["end"]))
+    unknown = F.filter(own, lambda x: open_(x) & ~goes_on(x))
+    names = F.array(*[F.lit(n) for n, _ in SENTENCES], F.lit(UNKNOWN))
+    return F.transform(F.array_sort(F.concat(known, unknown).cast(_PLACES)), lambda x: F.get(names, x["k"]))
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's licence sentences, in order."""
-    sentences = F.filter(F.transform(F.split(text, _END, -1), normalised), lambda s: F.rlike(s, F.lit(_ANY)))
-    return F.when(F.rlike(text, F.lit(_ANY)), F.transform(sentences, identifier)).otherwise(F.array().cast("array<string>"))
+    blocks = F.filter(F.split(text, _HARD, -1), lambda b: F.rlike(normalised(b), F.lit(_HOLDS)))
+    return F.when(F.rlike(text, F.lit(_LOOSE)), F.flatten(F.transform(blocks, _block))).otherwise(F.array().cast("array<string>"))
 
 
 def _code(names: tuple[str, ...]) -> str:
