@@ -86,6 +86,27 @@ def diversify(ranked: DataFrame, source: str, free: int = 3) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__chosen"), "rank"))).drop("__first", "__chosen")
 
 
+def top_diversified(scored: DataFrame, sources: DataFrame, source: str, limit: int, free: int = 3) -> DataFrame:
+    """The first ``limit`` rows (rank, unit, doc, score, source) of what diversify() makes of all scored rows.
+
+    A document's and a source's first results come from aggregates over all rows; only bounded lists are ranked.
+    sources has one row (doc, source) for each document.
+    """
+    order = [F.desc("score"), F.asc("unit")]
+    rows = scored.withColumn("score", F.round("score", 4))
+    best = F.min(F.struct((-F.col("score")).alias("low"), "unit", "doc")).alias("b")
+    unpacked = [F.col("b.unit").alias("unit"), F.col("b.doc").alias("doc"), (-F.col("b.low")).alias("score")]
+    firsts = rows.groupBy("doc").agg(best).select(*unpacked).join(sources.select("doc", source), "doc")
+    named = F.coalesce(F.col(source) != "", F.lit(False))
+    of_source = firsts.filter(named).groupBy(source).agg(best).select(*unpacked)
+    chosen = firsts.select(*of_source.columns).orderBy(*order).limit(free).unionByName(firsts.filter(~named).select(*of_source.columns)).unionByName(of_source)
+    chosen = chosen.distinct().orderBy(*order).limit(limit)
+    rest = rows.select(*of_source.columns).join(chosen.select("unit"), "unit", "left_anti").orderBy(*order).limit(limit)
+    both = chosen.withColumn("__k", F.lit(0)).unionByName(rest.withColumn("__k", F.lit(1)).select(*of_source.columns, "__k"))
+    both = both.withColumn("rank", F.row_number().over(Window.orderBy("__k", *order))).drop("__k").filter(F.col("rank") <= limit)
+    return both.join(sources.select("doc", source), "doc")
+
+
 def filtered(documents: DataFrame, doc_types: list[str] = (), sources: list[str] = (), languages: list[str] = (), extraction_quality: list[str] = (), has_tables: bool | None = None) -> DataFrame:
     """documents that meet all given filters; pushed down to the scan where they are on plain columns."""
     for column, values in (("doc_type", doc_types), ("source_batch", sources), ("language", languages), ("extraction_method", extraction_quality)):

@@ -209,8 +209,8 @@ class CorpusIndex:
         try:
             total = scored.count()
             info = self.table("documents").select(F.col("doc_id").alias("doc"), "title", "doc_type", "source_batch", "canonical_text")
-            pool = search.top(scored, max(max_results, 1) * 8 if diversify else max(max_results, 1)).join(info, "doc")
-            ranked = (search.diversify(pool, "source_batch") if diversify else pool).filter(F.col("rank") <= max_results)
+            best = search.top_diversified(scored, info, "source_batch", max_results).drop("source_batch") if diversify else search.top(scored, max_results)
+            ranked = best.join(info, "doc")
             placed = units.select("unit", "page_number", "char_start", "char_end")
             rows = ranked.join(placed, "unit")
             whole = F.col("canonical_text")

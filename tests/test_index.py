@@ -2,7 +2,9 @@ import json
 
 import pytest
 
-from quarrywise.operators import topics
+from pyspark.sql import functions as F
+
+from quarrywise.operators import search, topics
 from quarrywise.plans import build
 from quarrywise.plans.api import CorpusIndex, HybridIndex, estimate
 from quarrywise.plans.render import markdown
@@ -172,3 +174,16 @@ def test_stream_appends_each_file_once(spark, folder, tmp_path):
         q = extraction.append_to(extraction.arriving(spark, str(folder / "payroll")), str(tmp_path / "t"), str(tmp_path / "c"))
         q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_diversity_looks_past_a_long_document_and_a_hot_source(spark):
+    rows = [(f"a{i:04}", "long", 9.0 - i / 1000) for i in range(300)] + [(f"h{i:04}", f"hot{i}", 8.0 - i / 1000) for i in range(300)]
+    rows += [("x", "far", 1.0), ("y", "blank", 0.5), ("z", "far", 0.4)]
+    scored = spark.createDataFrame(rows, "unit string, doc string, score double")
+    sources = scored.select("doc").distinct().withColumn("source", F.when(F.col("doc") == "far", "cold").when(F.col("doc") == "blank", "").otherwise("hot"))
+    got = [r.unit for r in search.top_diversified(scored, sources, "source", 8).orderBy("rank").collect()]
+    assert got == ["a0000", "h0000", "h0001", "x", "y", "a0001", "a0002", "a0003"]
+    ranked = search.top(scored, len(rows)).join(sources, "doc")
+    whole = [r.unit for r in search.diversify(ranked, "source").orderBy("rank").collect()]
+    assert got == whole[:8] and [r.unit for r in search.top_diversified(scored, sources, "source", 4).orderBy("rank").collect()] == whole[:4]
+    assert search.top_diversified(scored, sources, "source", 0).count() == 0
