@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,9 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch handed to Python: about 4 MB of ordinary texts.
 BATCH_ROWS = 1000
-#: Most rows that a lookup table may have to be broadcast; beyond, a shuffle join is used.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes that a lookup table may have to be broadcast; beyond, a shuffle join is used.
+BROADCAST_BYTES = 32 << 20
+_written: list[str] = []
 
 
 def session() -> SparkSession:
@@ -28,9 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is named."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where none is named, a session whose executors are in this process gets a temporary one; any other is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="quarrywise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -39,15 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends there.
 
-    Lost executors cost nothing that was finished.  The table goes when the driver exits.
+    Lost executors cost nothing that was finished.  The table goes by free(), or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrywise/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(free, spark, 0)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The number of tables written so far, for free()."""
+    return len(_written)
+
+
+def free(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Remove the tables written after mark() gave ``since``, but for the last ``keep``: nothing may need them any more."""
+    for i in range(since, len(_written) - keep):
+        if _written[i]:
+            _remove(spark, _written[i])
+            _written[i] = ""
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -68,9 +90,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit (narrow) rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values are of at most limit bytes, counted over all its rows, else as it is."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        column = quoted([f.name])[0]
+        size += 16 + (F.coalesce(F.octet_length(column.cast("string")), F.lit(0)) if not isinstance(f.dataType, (T.NumericType, T.BooleanType)) else 0)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
 def text_or_empty(column: str = "text"):

@@ -1,12 +1,14 @@
 """Words of Arrow text columns as numpy arrays, without a Python object per word.
 
-A column's UTF-8 bytes are read in place.  A word's 64-bit value is a polynomial over
-its (folded) bytes modulo 2**64, taken from one running sum, then mixed; it depends on
-the word's bytes alone, so it is the same in every task.
+A column's UTF-8 bytes are read in place.  A word's 64-bit value comes from its (folded) bytes, eight at
+a time: each eight are put in by exclusive or and the whole is mixed, so no arithmetic of the bytes
+carries over to the values.  Words of up to eight bytes and one length never share a value; words of over
+LONG bytes take theirs from BLAKE2b.  A value depends on the word's bytes alone, so it is the same in every task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +18,10 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes handled at once; cuts fall between words.
 PIECE = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+#: Bytes of the longest words that are mixed here.
+LONG = 64
+#: The first k of eight little-endian bytes, for k from 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(v: np.ndarray) -> np.ndarray:
@@ -28,17 +31,26 @@ def mix(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(PIECE + 4096, n)
-        found = []
-        for x in (_BASE, _INVERSE):
-            a = np.full(size, x, dtype=np.uint64)
-            a[0] = 1
-            found.append(np.multiply.accumulate(a))
-        _powers[:] = found
-    return _powers[0][:n], _powers[1][:n]
+def _values(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Values of the words at [start, end) of code, which has eight spare bytes at its end."""
+    eight = np.ndarray((len(code) - 7,), "<u8", code, strides=(1,))
+    size = end - start
+    out = mix((eight[start] & _FIRST[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) + U(0x9E3779B97F4A7C15)))
+    for j in range(8, LONG, 8):
+        more = np.flatnonzero(size > j)
+        if not len(more):
+            return out
+        part = eight[start[more] + j] & _FIRST[np.minimum(size[more] - j, 8)]
+        out[more] = mix(out[more] + U(0x632BE59BD9B4E019) ^ part)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(code[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _heads(code: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """Values of the first k (8 at most) bytes of words."""
+    eight = np.ndarray((len(code) - 7,), "<u8", code, strides=(1,))
+    return mix((eight[start] & _FIRST[np.minimum(end - start, k)]) ^ mix(np.full(1, k << 32, np.uint64)))
 
 
 class Alphabet:
@@ -130,30 +142,25 @@ def _pieces(code: np.ndarray, fresh: np.ndarray):
 
 
 def split(column, alphabet: Alphabet, prefixes: tuple[int, ...] = ()) -> tuple[Words, list[np.ndarray]]:
-    """All words of a column; for each k in prefixes also the values of their first k bytes."""
+    """All words of a column; for each k in prefixes (8 at most) also the values of their first k bytes."""
     data, offsets = buffer(column)
     n = len(data)
-    code = np.frombuffer(data.tobytes().translate(alphabet.codes), np.uint8)
+    code = np.frombuffer(data.tobytes().translate(alphabet.codes) + bytes(8), np.uint8)
     fresh = np.zeros(n + 1, bool)
     fresh[offsets[:-1]] = True
     starts, ends, values = [], [], []
     heads: list[list[np.ndarray]] = [[] for _ in prefixes]
-    for a, b in _pieces(code, fresh):
-        c = code[a:b]
-        w, f = c != 0, fresh[a:b]
+    for a, b in _pieces(code[:n], fresh):
+        w, f = code[a:b] != 0, fresh[a:b]
         join = w[:-1] & w[1:] & ~f[1:]  # a word goes on from this byte to the next
         s = np.flatnonzero(w & ~np.concatenate(([False], join)))
         e = np.flatnonzero(w & ~np.concatenate((join, [False]))) + 1
         if not len(s):
             continue
-        up, down = powers(b - a + 1)
-        total = np.empty(b - a + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(up[: b - a] * c, out=total[1:])
-        base, back = total[s], down[s]
-        values.append(mix((total[e] - base) * back + (e - s).astype(np.uint64)))
+        part = code[a : b + 8]
+        values.append(_values(part, s, e))
         for k, out in zip(prefixes, heads):
-            out.append(mix((total[np.minimum(s + k, e)] - base) * back + U(k << 32)))
+            out.append(_heads(part, s, e, k))
         starts.append(s + a)
         ends.append(e + a)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)

@@ -1,8 +1,9 @@
-"""Exact n-gram Jaccard self-join by token-combination prefixes, as components and link counts.
+"""Exact n-gram Jaccard self-join by token-combination prefixes, as components.
 
-A document's tokens are its distinct 5-word shingles (64-bit values).  One pass counts all
-tokens in a sketch of fixed size.  Tokens are ordered by estimate, then value, in two classes: rare ones (their
-estimate is within the sketch's noise) and frequent ones.
+A document's tokens are its distinct 5-word shingles (64-bit values).  Documents with the same set are
+one node throughout, known by a 128-bit fingerprint.  One pass counts all tokens in a sketch as wide as the
+input asks for, up to MOST_SLOTS counters.  Tokens are ordered by estimate, then value, in two classes:
+rare ones (their estimate is within the sketch's noise) and frequent ones.
 Two sets of Jaccard similarity t or more differ in at most ``n - ceil(t n)`` tokens of either,
 so a prefix of the ordered tokens that *covers* one more than that must share a signature:
 
@@ -14,16 +15,20 @@ so a prefix of the ordered tokens that *covers* one more than that must share a
 
 Whatever share a signature are candidates.  Sorted by signature and size, a run is cut where sizes
 leave a gap that no similar pair spans; the first set of each piece is its pivot, and only
-(pivot, member) rows leave the run.  What these rows connect is a family; its members' whole token
-sets meet once, in one task, and are compared as a product of incidence matrices.  Only a spanning
-forest and link counts come out, never pairs.  A family with too many tokens for one task is cut
-into blocks, a task for each pair of blocks; one of more than FAMILY_BLOCKS blocks is compared pivot
-by pivot instead, in blocks too.  Documents with the same set are one node throughout.
+(pivot, member) rows leave the run.  Long runs are thinned so before the shuffle, in the task that makes
+them, so a signature of very many sets sends few rows to any one task.  What pivots connect is a family;
+its members' whole token sets meet once, in one task, which verifies candidates by a prefix index of
+its own and never compares what is joined already.
+
+A family with too many tokens for one task is settled in two steps.  First each member is compared
+with its pivot and what meets it there, in chunks: linear, and enough to join nearly all that belongs together.
+Then only signatures whose sets are still in different components are looked at again; within them, sets
+outside the largest component meet, in blocks, one another and chunks of that component.
 
 Nulls and texts without words have the empty set, linked with nothing.  A null doc_id takes part
-but is never the smallest, unless a component has no other.  Repeated rows stay, as copies.
-Only the columns doc_id and text are read.  Node values are 64-bit fingerprints of whole sets: among
-a million distinct sets, two meet by chance with odds of about 3 in 10**8.
+but is never the smallest, unless a component has no other.  Repeated rows stay, as copies.  Very long texts
+are sets like others.  Only the columns doc_id and text are read, so others may have any names.  Token values are
+64-bit hashes of words: two shingles that differ are taken for one with odds of 2**-64 a compared pair of them.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +47,26 @@ from ._words import U, UNSPACED, mix, split, windows
 WORDS = 5
 #: The similarity threshold in hundredths.
 PERCENT = 75
-#: Counters of the sketch are 2 ** SKETCH_BITS bytes at each task.
-SKETCH_BITS = 22
+#: Bytes of text for each counter of the sketch, and the most counters: one byte each is sent to every executor.
+SLOT_BYTES = 48
+MOST_SLOTS = 1 << 24
 _PART = 1 << 16
 #: The least rank of frequent tokens.
 FREQUENT = 128
-#: Tokens of one block of a group: 8 MB of values.
-BLOCK_TOKENS = 1_000_000
-#: Members of one block.
-BLOCK_MEMBERS = 1024
-#: Families of more blocks are compared pivot by pivot.
-FAMILY_BLOCKS = 8
+#: Signatures that a task holds to thin its own runs, and the length from which it does.
+HELD = 1_000_000
+LONG_RUN = 64
+#: Tokens and members of the largest family that one task settles: 16 MB of values.
+FAMILY_TOKENS = 2_000_000
+FAMILY_MEMBERS = 30_000
 #: Levels below this one (larger sets of under 16 tokens) take single tokens only.
 _LEAST_LEVEL = 4
+#: Rounds after which components() gives up; each round joins ever longer chains, so a few suffice.
+MOST_ROUNDS = 100
 
 
-def token_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, bounds, nodes): each text's sorted distinct shingle values, where they begin and end, and its fingerprint."""
+def token_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, bounds, keys, checks): each text's sorted distinct shingle values, where they begin and end, and its fingerprint's halves."""
     found, _ = split(column, UNSPACED)
     rows = len(found.first) - 1
     values, at = windows(found.value, found.first, words)
@@ -82,20 +91,21 @@ def token_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.n
     new[bounds[:-1][bounds[:-1] < len(values)]] = True
     tokens = values[new]
     bounds = np.concatenate(([0], np.cumsum(new)))[bounds]
-    return tokens, bounds, _fingerprints(tokens, bounds)
+    return tokens, bounds, *_fingerprints(tokens, bounds)
 
 
-def _fingerprints(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Node values, signed; 0 for empty sets."""
+def _fingerprints(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and checks of sets, signed; 0 for empty sets.  They come from two mixings that share nothing but the tokens."""
     size = np.diff(bounds)
-    out = np.zeros(len(size), np.uint64)
+    out = np.zeros((2, len(size)), np.uint64)
     full = np.flatnonzero(size)
     if len(full):
-        mixed = mix(tokens + U(0x632BE59BD9B4E019))
-        a = np.add.reduceat(mixed, bounds[full])
-        b = np.bitwise_xor.reduceat(mixed * (mixed >> U(32) | U(1)), bounds[full])
-        out[full] = mix(a + b * U(3) + size[full].astype(np.uint64))
-    return out.view(np.int64)
+        for half, salt in zip(out, (0x632BE59BD9B4E019, 0xD1342543DE82EF95)):
+            mixed = mix(tokens + U(salt))
+            a = np.add.reduceat(mixed, bounds[full])
+            b = np.bitwise_xor.reduceat(mixed * (mixed >> U(32) | U(1)), bounds[full])
+            half[full] = mix(a + b * U(3) + size[full].astype(np.uint64))
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 class Seen:
@@ -104,7 +114,7 @@ class Seen:
     def __init__(self, most: int = 200_000):
         self.most, self.nodes = most, set()
 
-    def new(self, node: int) -> bool:
+    def new(self, node) -> bool:
         if node in self.nodes:
             return False
         if len(self.nodes) >= self.most:
@@ -112,58 +122,83 @@ class Seen:
         self.nodes.add(node)
         return True
 
+    def fresh(self, size: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        return np.array([n > 0 and self.new((k, c)) for n, k, c in zip(size.tolist(), keys.tolist(), checks.tolist())], bool)
+
+
+# --- the sketch --------------------------------------------------------------------------
+
+
+def _slots(documents: DataFrame) -> int:
+    """Counters for this input: a power of two."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_SLOTS, max(_PART, 1 << (int(size) // SLOT_BYTES).bit_length()))
+
+
+_SURVEY = ("rid", "key", "check", "n", "part", "counts")
 
-def _survey(words: int):
-    """doc_id, text -> a row of (doc_id, node, n) for each document, then the task's token counts in parts."""
+
+def _survey(words: int, slots: int):
+    """doc_id, text, rid -> a row of (doc_id, rid, key, check, n) for each document, then the task's token counts in parts, n their sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+        counts = np.zeros(slots, np.uint16)
         seen, schema = Seen(), None
         for batch in batches:
             ids = batch.column(0)
-            schema = pa.schema([pa.field("doc_id", ids.type), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-            tokens, bounds, nodes = token_sets(batch.column(1), words)
+            schema = pa.schema([pa.field("doc_id", ids.type), ("rid", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+            tokens, bounds, keys, checks = token_sets(batch.column(1), words)
             size = np.diff(bounds)
-            fresh = np.array([k > 0 and seen.new(node) for node, k in zip(nodes.tolist(), size.tolist())], bool)
-            slots = (tokens[np.repeat(fresh, size)] & U(len(counts) - 1)).astype(np.int64)
-            if len(slots):
-                slots.sort()
-                edge = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1], [True])))
-                at = slots[edge[:-1]]
-                counts[at] = np.minimum(counts[at] + np.diff(edge), 255)
+            at = (tokens[np.repeat(seen.fresh(size, keys, checks), size)] & U(slots - 1)).astype(np.int64)
+            if len(at):
+                at.sort()
+                edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+                at = at[edge[:-1]]
+                counts[at] = np.minimum(counts[at] + np.diff(edge), 65535)
             n = len(batch)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(keys), pa.array(checks), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if schema is not None and counts.any():
-            parts = [(i, counts[i * _PART : (i + 1) * _PART]) for i in range(len(counts) // _PART)]
-            parts = [(i, c.tobytes()) for i, c in parts if c.any()]
+            pack = zstandard.ZstdCompressor(1).compress
+            parts = [(i, x) for i, x in enumerate(counts.reshape(-1, _PART)) if x.any()]
             m = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, schema.field(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], schema=schema)
+            sums = pa.array([int(x.sum(dtype=np.int64)) for _, x in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, schema.field(0).type), *[pa.nulls(m, pa.int64())] * 3, sums, pa.array([i for i, _ in parts], pa.int32()), pa.array([pack(x.tobytes()) for _, x in parts], pa.binary())], schema=schema)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total.setdefault(part, np.zeros(_PART, np.int64))
-            total[part] += np.frombuffer(raw, np.uint8)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+def _ranked(mean: float):
+    """(part, counts) rows, all of a part in one task -> (part, ranks): a byte for each counter."""
+    most = mean + 6 * mean**0.5 + 4
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.setdefault(part, np.zeros(_PART, np.int64))
+                total[part] += np.frombuffer(unpack(raw), np.uint16)
+        for part, counts in total.items():
+            rank = np.floor(counts * (FREQUENT - 1) / most)
+            high = counts > most
+            rank[high] = FREQUENT + np.minimum(np.floor(4 * np.log2(counts[high] / most)), 255 - FREQUENT)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rank.astype(np.uint8).tobytes()], pa.binary())], names=["part", "ranks"])
+
+    return run
 
-def _ranks(surveyed: DataFrame) -> np.ndarray:
-    """A byte for each counter, rising with its count: under FREQUENT for rare ones.  4 MB, whatever the input."""
-    parts = surveyed.filter(F.col("part").isNotNull()).select("part", "counts").repartition(16, "part").mapInArrow(_summed, "part int, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in parts.collect():  # at most 64 rows of 256 kB
-        counts[row["part"] * _PART : (row["part"] + 1) * _PART] += np.frombuffer(row["counts"], np.uint32)
-    mean = counts.mean()
-    most = mean + 6 * mean**0.5 + 4
-    rank = np.floor(counts * (FREQUENT - 1) / most)
-    high = counts > most
-    rank[high] = FREQUENT + np.minimum(np.floor(4 * np.log2(counts[high] / most)), 255 - FREQUENT)
-    return rank.astype(np.uint8)
+
+def _ranks(surveyed: DataFrame, slots: int, partitions: int) -> np.ndarray:
+    """A byte for each counter, rising with its count: under FREQUENT for rare ones.  At most MOST_SLOTS bytes, whatever the input."""
+    parts = surveyed.filter(F.col("part").isNotNull()).select("part", "counts", "n")
+    out = np.zeros((slots // _PART, _PART), np.uint8)
+    whole = parts.agg(F.sum("n")).first()[0]
+    if whole:
+        for row in parts.select("part", "counts").repartition(min(partitions, len(out)), "part").mapInArrow(_ranked(whole / slots), "part int, ranks binary").toLocalIterator():
+            out[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
+    return out.ravel()
+
+
+# --- signatures and families -------------------------------------------------------------
 
 
 def _level(n: int) -> int:
@@ -202,30 +237,71 @@ def signatures(s: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def _index(shared, words: int, percent: int):
+def _thinned(sig: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int):
+    """Signature rows without the inner rows of long runs, and (pivot, node) rows for all of those runs.
+
+    Of a long run the first and last row of each bucket of sizes stay, buckets no wider than the gap that cuts runs, so
+    a run that is joined to others elsewhere is cut or not cut as the whole would be.
+    """
+    order = np.lexsort((node, n, sig))
+    sig, node, n = sig[order], node[order], n[order]
+    size = n.astype(np.int64)
+    start = np.concatenate(([True], (sig[1:] != sig[:-1]) | (100 * size[:-1] < percent * size[1:])))
+    first = np.flatnonzero(start)
+    length = np.diff(np.append(first, len(sig)))
+    run = np.cumsum(start) - 1
+    long_ = length[run] >= LONG_RUN
+    if not long_.any():
+        none = np.zeros(0, np.int64)
+        return (sig, node, n), (none, none)
+    bucket = np.floor(np.log(size) / (0.999 * np.log(100 / percent))).astype(np.int64)
+    edge = np.concatenate(([True], (run[1:] != run[:-1]) | (bucket[1:] != bucket[:-1])))
+    keep = ~long_ | edge | np.append(edge[1:], True)
+    pivot = node[first][run]
+    pairs = np.unique(np.stack([pivot, node], 1)[long_ & (pivot != node)], axis=0)
+    return (sig[keep], node[keep], n[keep]), (pairs[:, 0], pairs[:, 1])
+
+
+def _index(shared, words: int, percent: int, thin: bool = True):
+    """text -> (sig, key, n, null) for each signature, or (0, key, 0, pivot) where a run was thinned."""
+
+    def packed(held) -> pa.RecordBatch:
+        sig, node, n = (np.concatenate(x) for x in zip(*held))
+        (sig, node, n), (pivot, other) = _thinned(sig, node, n, percent) if thin else ((sig, node, n), (sig[:0], sig[:0]))
+        zero = np.zeros(len(other), np.int64)
+        columns = [pa.array(np.concatenate(x)) for x in ((sig, zero), (node, other), (n, zero.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(sig), pa.int64()), pa.array(pivot)])], names=["sig", "key", "n", "pivot"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, seen = shared.value, Seen()
+        ranks, seen, held, rows = shared.value, Seen(), [], 0
         for batch in batches:
-            sigs, nodes, sizes = [], [], []
-            tokens, bounds, values = token_sets(batch.column(0), words)
+            tokens, bounds, keys, checks = token_sets(batch.column(0), words)
+            size = np.diff(bounds)
             rank = ranks[(tokens & U(len(ranks) - 1)).astype(np.int64)]
-            for a, b, node in zip(bounds[:-1].tolist(), bounds[1:].tolist(), values.tolist()):
-                if b > a and seen.new(node):
-                    sigs.append(signatures(tokens[a:b], rank[a:b], percent))
-                    nodes.append(np.full(len(sigs[-1]), node, np.int64))
-                    sizes.append(np.full(len(sigs[-1]), b - a, np.int32))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in sigs], nodes, sizes)], names=["sig", "node", "n"])
+            for i in np.flatnonzero(seen.fresh(size, keys, checks)).tolist():
+                a, b = bounds[i], bounds[i + 1]
+                sig = signatures(tokens[a:b], rank[a:b], percent).view(np.int64)
+                held.append((sig, np.full(len(sig), keys[i], np.int64), np.full(len(sig), b - a, np.int32)))
+                rows += len(sig)
+                if rows >= HELD:
+                    yield packed(held)
+                    held, rows = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
 def _pivots(percent: int):
-    """Rows sorted by signature, size and node -> (first node of each piece, other node), some of them repeated."""
+    """Rows sorted by signature, size and key -> (first key of each piece, other key), some of them repeated; thinned rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
+            done = batch.filter(batch.column(3).is_valid())
+            if len(done):
+                yield pa.RecordBatch.from_arrays([done.column(3), done.column(1)], names=["pivot", "node"])
+            batch = batch.filter(batch.column(3).is_null())
             sig, node, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(sig):
                 continue
@@ -242,177 +318,255 @@ def _pivots(percent: int):
     return run
 
 
-def _sets_of(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, bounds, nodes = token_sets(batch.column(0), words)
-            sets = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], names=["node", "tokens"])
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node each one reaches over edges (a, b), by alternating large and small stars, to the fixed point."""
+    spark = edges.sparkSession
+    edges = C.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    for _ in range(MOST_ROUNDS):
+        since = C.mark()
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        edges = C.materialize(small.distinct(), "edges")
+        C.free(spark, since - 1, keep=1)
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)")
+        if open_.limit(1).count() == 0:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
-    return run
 
+# --- verification ------------------------------------------------------------------------
 
-def _products(rows: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many values each two of the given value arrays share."""
-    m = len(rows)
-    value, inverse, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), [len(x) for x in rows])
-    place = np.cumsum(count > 1) - 1
-    kept = count[inverse] > 1
-    row, column = row[kept], place[inverse[kept]]
-    total = np.zeros((m, m), np.float64)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        i, j = np.searchsorted(column, [a, a + width])
-        x = np.zeros((m, width), np.float32)
-        x[row[i:j], column[i:j] - a] = 1
-        total += x @ x.T
-    return total
-
-
-def group_links(nodes, blocks, pivots, sets, pivot: int, low: int, high: int, percent: int = PERCENT) -> tuple[list[int], list[int]]:
-    """For each member of a group: the smallest node it is linked to in it, and its links that no other group counts."""
-    m = len(nodes)
-    size = np.array([len(s) for s in sets], np.int64)
-    shared = _products(sets).astype(np.int64)
-    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-    np.fill_diagonal(linked, False)
-    earlier = [np.array([q for q in x if q < pivot], np.int64) for x in pivots]
-    owned = linked & (_products(earlier) == 0) if any(len(x) for x in earlier) else linked.copy()
-    b = np.asarray(blocks)
-    owned &= (np.minimum(b[:, None], b[None, :]) == low) & (np.maximum(b[:, None], b[None, :]) == high)
-    root = np.arange(m)
-    order = np.argsort(nodes, kind="stable")
-    done = np.zeros(m, bool)
-    for i in order:  # breadth first from the smallest node of each component
-        if done[i]:
-            continue
-        reach, front = np.zeros(m, bool), np.zeros(m, bool)
-        front[i] = reach[i] = True
-        while front.any():
-            front = linked[front].any(axis=0) & ~reach
-            reach |= front
-        root[reach] = i
-        done |= reach
-    return [int(nodes[r]) for r in root], owned.sum(axis=1).tolist()
 
+def _find(parent: np.ndarray, at):
+    root = parent[at]
+    while True:
+        above = parent[root]
+        if np.array_equal(above, root):
+            return root
+        root = above
 
-def _links(percent: int):
-    """Rows sorted by (pivot, low, high, node) -> (node, root, links)."""
 
-    def settle(key, rows):
-        nodes = np.array([r[0] for r in rows], np.int64)
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        roots, links = group_links(nodes, [r[1] for r in rows], [r[2] for r in rows], sets, *key, percent)
-        return [(int(n), r, k) for n, r, k in zip(nodes, roots, links) if k or r != n]
+def linked(sets: list[np.ndarray], percent: int = PERCENT, labels: np.ndarray | None = None) -> np.ndarray:
+    """For each of some sets the place of one that stands for its component; sets with one label count as joined already.
+
+    An index of the sets' rarest tokens (by their counts here) gives each set's candidates; only those of other
+    components are verified, by their whole intersections, and a token whose later sets are all joined is dropped.
+    """
+    m = len(sets)
+    parent = np.arange(m)
+    if labels is not None:
+        _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+        parent = first[inverse]
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    parent = place[parent[order]]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    _, ids, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    by_rarity = np.lexsort((ids, count[ids], row))
+    need = size - (percent * size + 99) // 100 + 1
+    chosen = by_rarity[(np.arange(len(ids)) - bounds[row] < need[row]) & (count[ids[by_rarity]] > 1)]
+    chosen = chosen[np.argsort(ids[chosen], kind="stable")]  # lists of one token each, their sets by size
+    token, member = ids[chosen], row[chosen]
+    if not len(token):
+        return order[parent[place]]
+    edge = np.concatenate(([True], token[1:] != token[:-1]))
+    which = np.cumsum(edge) - 1
+    end = np.append(np.flatnonzero(edge)[1:], len(token))
+    alive = np.ones(len(end), bool)
+    entries = np.argsort(member, kind="stable")
+    own = np.searchsorted(member[entries], np.arange(m + 1))
+    mark = np.zeros(len(count), bool)
+    for x in range(m):
+        mine = entries[own[x] : own[x + 1]]
+        mine = mine[alive[which[mine]]]
+        later = [member[e + 1 : end[which[e]]] for e in mine.tolist()]
+        later = [y for y in later if len(y)]
+        if not later:
+            continue
+        found = np.unique(np.concatenate(later))
+        root = int(_find(parent, np.array([x]))[0])
+        near = found[(percent * size[found] <= 100 * size[x]) & (_find(parent, found) != root)]
+        if len(near):
+            mark[ids[bounds[x] : bounds[x + 1]]] = True
+            hits = mark[np.concatenate([ids[bounds[y] : bounds[y + 1]] for y in near.tolist()])]
+            mark[ids[bounds[x] : bounds[x + 1]]] = False
+            shared = np.add.reduceat(hits.astype(np.int64), np.concatenate(([0], np.cumsum(size[near])[:-1])))
+            joined = near[100 * shared >= percent * (size[x] + size[near] - shared)]
+            parent[_find(parent, joined)] = root
+        parent[found] = _find(parent, found)
+        for e in mine.tolist():
+            k = which[e]
+            if (parent[member[e + 1 : end[k]]] == root).all():
+                alive[k] = False
+    return order[_find(parent, np.arange(m))[place]]
+
+
+def _settled(percent: int, keys: int):
+    """Rows sorted by ``keys`` group columns, then (id, label, tokens) -> (id, root): the least id of each one's component, if not its own.
+
+    A null label stands for the id itself.
+    """
+
+    def settle(rows) -> list[tuple[int, int]]:
+        ids = np.array([r[0] for r in rows], np.int64)
+        labels = np.array([r[0] if r[1] is None else r[1] for r in rows], np.int64)
+        stands = linked([np.frombuffer(r[2], np.uint64) for r in rows], percent, labels)
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, stands, ids)
+        least = least[stands]
+        return [(i, r) for i, r in zip(ids.tolist(), least.tolist()) if i != r]
 
     def packed(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["node", "root", "links"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["id", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        now, rows, out = None, [], []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for p, low, high, *row in zip(*columns):
-                if (p, low, high) != key:
+            columns = [batch.column(i).to_pylist() for i in range(keys + 3)]
+            for group, *row in zip(zip(*columns[:keys]), *columns[keys:]):
+                if group != now:
                     if len(rows) > 1:
-                        out += settle(key, rows)
-                    key, rows = (p, low, high), []
+                        out += settle(rows)
+                    now, rows = group, []
                 if not rows or row[0] != rows[-1][0]:
                     rows.append(row)
             if len(out) > 10_000:
                 yield packed(out)
                 out = []
         if len(rows) > 1:
-            out += settle(key, rows)
+            out += settle(rows)
         if out:
             yield packed(out)
 
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node each one reaches over edges (a, b), by alternating large and small stars."""
-    edges = C.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        after = C.materialize(small.distinct(), "edges")
-        chains = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        several = after.groupBy("a").count().filter("count > 1").limit(1).count()
-        edges = after
-        if not chains and not several:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _blocks_of(size: DataFrame) -> DataFrame:
-    """size (pivot, tokens, members) with the number of blocks each group is cut into."""
-    blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("members") / BLOCK_MEMBERS)).cast("int")
-    return size.select("pivot", blocks.alias("blocks"))
-
-
-def _dealt(members: DataFrame) -> DataFrame:
-    """members (pivot, node, blocks, pivots) -> a row for each pair of blocks that a member is compared in."""
-    df = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block", "pivots")
-
-
-def _groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Which nodes meet in which task: whole families (members: node, root, n), or pivots of the largest ones."""
-    size = members.groupBy(F.col("root").alias("pivot")).agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
-    size = C.materialize(_blocks_of(size), "families")
-    small = size.filter(F.col("blocks") <= FAMILY_BLOCKS)
-    whole = members.select(F.col("root").alias("pivot"), "node").join(small, "pivot").withColumn("pivots", F.array().cast("array<bigint>"))
-    if size.filter(F.col("blocks") > FAMILY_BLOCKS).limit(1).count() == 0:
-        return C.materialize(_dealt(whole), "groups")
-    large = members.join(size.filter(F.col("blocks") > FAMILY_BLOCKS).select(F.col("pivot").alias("root")), "root", "left_semi").select("node", "n")
-    stars = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("node")).distinct()).join(large, "node")
-    blocks = _blocks_of(stars.groupBy("pivot").agg(F.sum("n").alias("tokens"), F.count("*").alias("members")))
-    pivots = stars.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
-    by_pivot = stars.select("pivot", "node").join(blocks, "pivot").join(pivots, "node")
-    return C.materialize(_dealt(whole).unionByName(_dealt(by_pivot)), "groups")
+def _sets_of(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, bounds, keys, checks = token_sets(batch.column(0), words)
+            sets = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(checks), pa.array(sets, pa.binary())], names=["key", "check", "tokens"])
+
+    return run
+
+
+class _Join:
+    """The steps of one join."""
+
+    def __init__(self, documents: DataFrame, words: int, percent: int, partitions: int | None):
+        self.spark, self.words, self.percent = documents.sparkSession, words, percent
+        C.small_batches(self.spark)
+        self.docs = documents.select("doc_id", C.text_or_empty().alias("text"))
+        self.parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def survey(self) -> None:
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        slots = _slots(self.docs)
+        survey = f"doc_id {kind}, rid bigint, key bigint, check bigint, n bigint, part int, counts binary"
+        surveyed = C.materialize(self.docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_survey(self.words, slots), survey), "survey")
+        self.rows = surveyed.filter(F.col("part").isNull()).select("doc_id", "rid", "key", "check", "n")
+        self.ranks = self.spark.sparkContext.broadcast(_ranks(surveyed, slots, self.parts))
+        nodes = self.rows.filter("n > 0").groupBy("key", "check").agg(F.min("rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+        self.nodes = C.materialize(nodes, "nodes")
+
+    def _signed(self, texts: DataFrame, thin: bool = True) -> DataFrame:
+        return texts.select("text").mapInArrow(_index(self.ranks, self.words, self.percent, thin), "sig bigint, key bigint, n int, pivot bigint")
+
+    def _texts(self, members: DataFrame) -> DataFrame:
+        """A document of each member, and others of the same doc_id."""
+        rep = C.maybe_broadcast(members.select(F.col("doc_id").alias("rep")))
+        return self.docs.join(rep, self.docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
+
+    def _compared(self, sets: DataFrame, dealt: DataFrame, *group: str) -> DataFrame:
+        """(id, root) of what is dealt (group columns, key, check, id, label) into one task a group."""
+        full = sets.join(C.maybe_broadcast(dealt), ["key", "check"]).select(*group, "id", "label", "tokens")
+        return full.repartition(self.parts, *group).sortWithinPartitions(*group, "id").mapInArrow(_settled(self.percent, len(group)), "id bigint, root bigint")
+
+    def candidates(self) -> None:
+        """Families of what shares signatures: members (root, key, check, id, n, doc_id)."""
+        home = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("pivot", "key"))
+        runs = self._signed(self.docs).repartition(self.parts, home).sortWithinPartitions("sig", "n", "key")
+        self.pairs = C.materialize(runs.mapInArrow(_pivots(self.percent), "pivot bigint, node bigint").distinct(), "pairs")
+        families = components(self.pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        twins = self.nodes.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key", F.col("key").alias("root"))  # one key, two sets
+        families = families.withColumnRenamed("node", "key").unionByName(families.select(F.col("root").alias("key"), "root").distinct())
+        families = families.unionByName(twins.join(families, "key", "left_anti"))
+        self.members = C.materialize(families.join(self.nodes, "key").select("root", "key", "check", "id", "n", "doc_id"), "members")
+
+    def roots(self) -> DataFrame:
+        """(id, root) of every node that is not its component's least id."""
+        size = self.members.groupBy("root").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
+        large = C.materialize(size.filter((F.col("tokens") > FAMILY_TOKENS) | (F.col("members") > FAMILY_MEMBERS)).select("root"), "large")
+        some = large.limit(1).count() > 0  # each has FAMILY_MEMBERS members or FAMILY_TOKENS tokens, so these are few
+        label = F.lit(None).cast("bigint").alias("label")
+        small = self.members.join(F.broadcast(large), "root", "left_anti") if some else self.members
+        sets = self._texts(small).select("text").mapInArrow(_sets_of(self.words), "key bigint, check bigint, tokens binary")
+        found = C.materialize(self._compared(sets, small.select(F.col("root").alias("family"), "key", "check", "id", label), "family"), "links")
+        return found.unionByName(self._large(self.members.join(F.broadcast(large), "root", "left_semi"))) if some else found
+
+    def _large(self, members: DataFrame) -> DataFrame:
+        members = C.materialize(members, "members")
+        texts = self._texts(members)
+        sets = C.materialize(texts.select("text").mapInArrow(_sets_of(self.words), "key bigint, check bigint, tokens binary").join(members.select("key", "check"), ["key", "check"], "left_semi"), "sets")
+        # each with its least pivot: chunks of a pivot's members, the pivot in all of them
+        least = self.pairs.groupBy(F.col("node").alias("key")).agg(F.min("pivot").alias("pivot"))
+        stars = members.join(least, "key").select("pivot", "key", "check", "id", "n")
+        chunks = C.materialize(_parts_of(stars.groupBy("pivot").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))), "chunks")
+        label = F.lit(None).cast("bigint").alias("label")
+        dealt = stars.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("chunk"), "key", "check", "id", label)
+        centres = chunks.join(members.withColumnRenamed("key", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.col("pivot").alias("key"), "check", "id", label)
+        first = C.materialize(self._compared(sets, C.materialize(dealt.unionByName(centres), "stars"), "pivot", "chunk"), "links")
+        # what shares a signature and is not joined yet
+        joined = components(first.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+        members = C.materialize(members.join(joined.withColumnRenamed("root", "label"), "id", "left").select("key", "check", "id", "n", F.coalesce("label", "id").alias("label")), "members")
+        lists = C.materialize(self._signed(texts, thin=False).select("sig", "key").distinct().join(members, "key"), "lists")
+        of = lists.groupBy("sig", "label").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+        open_ = of.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("major"), F.count("*").alias("k"), F.max(F.struct("members", "label", "tokens")).alias("most"), F.sum("members").alias("members"), F.sum("tokens").alias("tokens")).filter("k > 1")
+        minor = _parts_of(open_.select("sig", (F.col("tokens") - F.col("most.tokens")).alias("tokens"), (F.col("members") - F.col("most.members")).alias("members"))).withColumnRenamed("parts", "minor_parts")
+        major = _parts_of(open_.select("sig", "major", F.col("most.tokens").alias("tokens"), F.col("most.members").alias("members")), "major").withColumnRenamed("parts", "major_parts")
+        plan = C.materialize(major.join(minor, "sig"), "open")
+        rows = lists.join(plan, "sig")
+        mine = F.when(F.col("label") == F.col("major"), F.col("minor_parts") + F.pmod(F.xxhash64("id"), "major_parts")).otherwise(F.pmod(F.xxhash64("id"), "minor_parts")).cast("int")
+        rows = rows.withColumn("p", mine)
+        last = F.when(F.col("p") < F.col("minor_parts"), F.col("minor_parts") + F.col("major_parts") - 1).otherwise(F.col("minor_parts") - 1)
+        rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), last)))
+        dealt = rows.select("sig", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "key", "check", "id", "label")
+        second = C.materialize(self._compared(sets, C.materialize(dealt, "dealt"), "sig", "low", "high"), "links")
+        both = first.unionByName(second).select(F.col("id").alias("a"), F.col("root").alias("b"))
+        return components(both).withColumnRenamed("node", "id")
+
+    def result(self) -> DataFrame:
+        self.survey()
+        self.candidates()
+        roots = self.roots()
+        every = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+        every = C.materialize(every.join(self.nodes.select("id", "doc_id", "copies"), "id"), "components")
+        least = C.materialize(every.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("class_size")), "least")
+        named = C.materialize(every.select("id", "root").join(C.maybe_broadcast(least), "root").select("id", "component_id", "class_size"), "named")
+        labelled = self.nodes.join(named, "id", "left").select("key", "check", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", "copies").alias("class_size"))
+        full = self.rows.filter("n > 0").join(C.materialize(labelled, "labelled"), ["key", "check"])
+        bare = self.rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("class_size"))
+        return full.select("doc_id", "n", "component_id", "class_size").unionByName(bare).withColumnRenamed("n", "n_shingles")
+
+
+def _parts_of(size: DataFrame, *more: str) -> DataFrame:
+    """size (sig or pivot, tokens, members) -> into how many parts each group is cut so that two fit a task."""
+    parts = F.ceil(F.greatest(2 * F.col("tokens") / FAMILY_TOKENS, 2 * F.col("members") / FAMILY_MEMBERS)).cast("int")
+    return size.select(size.columns[0], *more, F.greatest(parts, F.lit(1)).alias("parts"))
 
 
 def join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, partitions: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), n_links (other distinct sets linked)."""
-    spark = documents.sparkSession
-    C.small_batches(spark)
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", C.text_or_empty().alias("text"))
-    surveyed = C.materialize(docs.mapInArrow(_survey(words), f"doc_id {kind}, node bigint, n bigint, part int, counts binary"), "survey")
-    rows = surveyed.filter(F.col("part").isNull()).select("doc_id", "node", "n")
-    ranks = spark.sparkContext.broadcast(_ranks(surveyed))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = docs.select("text").mapInArrow(_index(ranks, words, percent), "sig bigint, node bigint, n int")
-    runs = index.repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
-    pairs = C.materialize(runs.mapInArrow(_pivots(percent), "pivot bigint, node bigint").distinct(), "pairs")
-
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    families = components(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    members = C.materialize(families.join(nodes, "node"), "members")
-    groups = _groups(members, pairs)
-    rep = C.maybe_broadcast(members.select(F.col("doc_id").alias("rep")))
-    texts = docs.join(rep, docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets_of(words), "node bigint, tokens binary")
-    full = sets.join(C.maybe_broadcast(groups), "node").select("pivot", "low", "high", "node", "block", "pivots", "tokens")
-    found = full.repartition(parts, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node").mapInArrow(_links(percent), "node bigint, root bigint, links bigint")
-    found = C.materialize(found, "links")
-
-    roots = components(found.filter("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    labelled = nodes.join(roots, "node", "left").join(links, "node", "left")
-    labelled = labelled.select("node", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(least, "root").select("node", "component_id", "n_links")
-    out = rows.join(labelled, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), class_size (rows of the component)."""
+    return _Join(documents, words, percent, partitions).result()
 
 
 def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -438,20 +592,17 @@ def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
-sets AS (SELECT doc_id, string_agg(g, chr(31) ORDER BY g) AS whole FROM s GROUP BY doc_id),
-counts AS (SELECT a, count(DISTINCT y.whole) AS n_links FROM links JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE x.whole <> y.whole GROUP BY a),
-reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
-       least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id)) AS component_id,
-       CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN counts ON counts.a = d.doc_id
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a, min(doc_id) AS component_id, count(*) AS class_size FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, CAST(class_size AS BIGINT) AS class_size
+FROM d LEFT JOIN n ON n.r = d.r JOIN class ON class.a = d.r
 """

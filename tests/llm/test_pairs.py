@@ -32,8 +32,7 @@ def brute(rows):
                     seen.add(j)
                     todo.append(j)
         ids = [rows[j][0] for j in seen if rows[j][0] is not None]
-        others = {frozenset(sets[j]) for j in links[i]} - {frozenset(sets[i])}
-        out.append((doc, len(sets[i]), min(ids, default=None), len(others)))
+        out.append((doc, len(sets[i]), min(ids, default=None), len(seen)))
     return sorted(out, key=repr)
 
 
@@ -52,16 +51,83 @@ def corpus(seed, n=120):
     return rows + [(500, None), (501, ""), (502, " \n "), (7, rows[7][1]), (7, rows[7][1]), (None, rows[3][1]), (503, "\x00 a")]
 
 
-@pytest.mark.parametrize("blocks", [(1024, 8), (3, 2)])
-def test_join_equals_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", blocks[0])
-    monkeypatch.setattr(jaccard, "FAMILY_BLOCKS", blocks[1])
-    rows = corpus(blocks[0])
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, n int")
+@pytest.mark.parametrize("limits", [{}, {"LONG_RUN": 3, "HELD": 200}, {"FAMILY_MEMBERS": 6}, {"FAMILY_TOKENS": 300, "LONG_RUN": 3}])
+def test_join_equals_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(len(str(limits)))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, n int").repartition(3)
     got = [tuple(r) for r in jaccard.join(df).collect()]
     assert sorted(got, key=repr) == brute(rows)
 
 
+def test_linked_sets_equal_brute_force():
+    r = random.Random(12)
+    for _ in range(60):
+        base = [r.sample(range(1, 10**6), r.choice([1, 3, 8, 30])) for _ in range(4)]
+        sets = [np.unique(np.array([x if r.random() > 0.12 else r.randrange(10**6) for x in r.choice(base)] + [7] * r.randrange(2), np.uint64)) for _ in range(r.choice([1, 2, 25]))]
+        labels = np.array([r.randrange(3) if r.random() < 0.2 else 10 + i for i in range(len(sets))])
+        near = lambda i, j: labels[i] == labels[j] or 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))  # noqa: E731, B023
+        want = np.arange(len(sets))
+        for _ in sets:
+            for i in range(len(sets)):
+                for j in range(len(sets)):
+                    if near(i, j):
+                        want[i] = want[j] = min(want[i], want[j])
+        got = jaccard.linked(sets, 75, labels)
+        assert [got.tolist().index(x) for x in got] == [want.tolist().index(x) for x in want]
+
+
+def test_thinned_runs_connect_what_whole_runs_do():
+    r = random.Random(5)
+    for _ in range(30):
+        n = r.choice([5, 200])
+        sig = np.array([r.randrange(3) for _ in range(n)])
+        size = np.array([r.choice([3, 4, 5, 7, 9, 40, 50, 51, 68, 90, 300]) for _ in range(n)], np.int32)
+        node = np.arange(n)
+        half = np.arange(n) % 2 == 0
+        groups = lambda pairs: sorted(map(sorted, _merged(pairs, n)))  # noqa: E731, B023
+        whole = _runs(sig, node, size)
+        thin = []
+        kept = []
+        for some in (half, ~half):
+            (s, k, z), (p, o) = jaccard._thinned(sig[some], node[some], size[some], 75)
+            kept.append((s, k, z))
+            thin += list(zip(p.tolist(), o.tolist()))
+        assert groups(whole) == groups(thin + _runs(*(np.concatenate(x) for x in zip(*kept))))
+
+
+def _runs(sig, node, size):
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, node, size)] + [pa.nulls(len(sig), pa.int64())], names=["sig", "key", "n", "pivot"]).sort_by([("sig", "ascending"), ("n", "ascending"), ("key", "ascending")])
+    return [(p, n) for b in jaccard._pivots(75)(iter([rows])) for p, n in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def _merged(pairs, n):
+    of = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        both = of[a] | of[b]
+        for x in both:
+            of[x] = both
+    return {frozenset(x) for x in of.values()}
+
+
+def test_words_of_like_structure_differ(spark):
+    """Thue-Morse words and their complements agree in every polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (8, 16, 64, 1024):
+        a, b = word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+        assert _words.value_of(a.encode(), _words.UNSPACED) != _words.value_of(b.encode(), _words.UNSPACED)
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.join(df).collect()) == [(1, 1, 1, 2), (2, 1, 2, 1), (3, 1, 1, 2)]
+
+
+def test_long_chains_settle(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    assert {tuple(r) for r in jaccard.components(df).collect()} == {(i, 0) for i in range(1, 301)} | {(1001, 1000)}
+
+
 def test_prefixes_share_a_signature():
     """Any two sets of enough similarity share one, whatever the ranks."""
     rng = np.random.default_rng(4)
@@ -91,7 +157,7 @@ def test_one_of_each_group_stays(spark):
 
 def test_one_of_each_group_stays_where_ids_are_unique(spark):
     rows = [(3, "a b c d e f g h"), (1, "A b c d e f g h"), (5, "other words"), (8, ""), (9, None)]
-    df = spark.createDataFrame([(t, i, i * 2) for i, t in rows], "text string, doc_id long, n_links int")
+    df = spark.createDataFrame([(t, i, i * 2) for i, t in rows], "text string, doc_id long, class_size int")
     kept = jaccard.deduplicate(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 8, 9]
 
