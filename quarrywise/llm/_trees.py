@@ -68,12 +68,17 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 80, dept
 
 
 class Isotonic:
-    """A rising step function by pooling adjacent violators, with straight lines between block centres."""
+    """A rising step function by pooling adjacent violators, with straight lines between block centres.
+
+    Equal raw values are one observation, their mean.
+    """
 
     def __init__(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray):
         blocks: list[list[float]] = []  # sum of weights, of weighted y, of weighted raw
-        for i in np.argsort(raw, kind="stable"):
-            blocks.append([weight[i], weight[i] * y[i], weight[i] * raw[i]])
+        value, which = np.unique(raw, return_inverse=True)
+        total, good = (np.bincount(which, w, len(value)) for w in (weight, weight * y))
+        for v, w, g in zip(value.tolist(), total.tolist(), good.tolist()):
+            blocks.append([w, g, w * v])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]

@@ -9,8 +9,9 @@ with their shares.  A network with one hidden layer gives the log-odds, divided
 that fits a part of the sample it did not learn from.  Vectors and network learn from one sample of at
 most 2 * SAMPLE_EACH labelled documents, never held-out ones; every document is scored.
 
-A null text is empty and scored as such.  Repeated rows are scored each.  Without labels all scores are
-one half.  An empty table gives no rows.  Columns named as the outputs are replaced; others stay.
+The model and every score depend on the rows alone, not on their order, partitions or batches; equal texts have
+equal scores.  A null text is empty and scored as such; of very long texts all words count.  Repeated rows are scored
+each.  Without labels all scores are one half.  An empty table gives no rows.  Columns named as the outputs are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def _pooled(vectors: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.nd
     at = 0
     while at < rows:  # about 65,000 tokens at once, a longer row in parts
         end = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 16), side="right")) - 1)
-        if end == at + 1:
+        if first[at + 1] - first[at] > 1 << 16:
             for i in range(first[at], first[end], 1 << 16):
                 out[at] += vectors[bucket[i : min(i + (1 << 16), first[end])]].sum(0)
         else:
@@ -216,7 +217,7 @@ def _inputs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pool(tokens(batch.column(0)), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "weight", "part", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "weight", "part", "tie", "x"])
 
     return run
 
@@ -228,7 +229,7 @@ def train(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> M
     sample = C.materialize(_labels.sample(documents, labels, "quality", each), "labelled")
     vectors = word_vectors(sample)
     shared = spark.sparkContext.broadcast(vectors)
-    rows = sample.mapInArrow(_inputs(shared), "label int, weight double, part double, x array<double>").toPandas().sort_values("part", kind="stable")
+    rows = sample.mapInArrow(_inputs(shared), "label int, weight double, part double, tie bigint, x array<double>").toPandas().sort_values(["part", "tie"])
     y, w, part = (rows[k].to_numpy(float) for k in ("label", "weight", "part"))
     if len(set(y)) < 2:
         return Model(vectors, None)

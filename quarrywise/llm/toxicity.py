@@ -6,8 +6,9 @@ second-person words, capitals, punctuation, obfuscation.  The lexicon, the trees
 calibration each learn from their own part of one sample of at most 2 * SAMPLE_EACH labelled
 documents; held-out documents are never in it.  Every document is scored, in one narrow pass.
 
-A null text is empty and scored as such.  Repeated rows are scored each.  Without labels all scores are
-one half.  An empty table gives no rows.  Columns named as the outputs are replaced; others stay.
+The model and every score depend on the rows alone, not on their order, partitions or batches; equal texts have
+equal scores.  A null text is empty and scored as such; of very long texts all words count.  Repeated rows are scored
+each.  Equal raw scores are calibrated as one.  Without labels all scores are one half.  An empty table gives no rows.  Columns named as the outputs are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -75,8 +76,9 @@ def lexicon(learned: dict[int, float], seeds: tuple[str, ...] = SEEDS) -> Lexico
     for v, w in learned.items():
         both[v] = max(w, both.get(v, 0.0))
     value = np.array(sorted(both), np.uint64)
+    weight = np.round(np.array([both[int(v)] for v in value]) * 1024) / 1024  # so that sums are exact in any order
     persons = np.sort(np.array([value_of(w.encode(), ALNUM) for w in SECOND_PERSON], np.uint64))
-    return Lexicon(value, np.array([both[int(v)] for v in value]), persons)
+    return Lexicon(value, weight, persons)
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -85,13 +87,15 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def _distance(mark: np.ndarray) -> np.ndarray:
-    """Each place's distance to the nearest marked one."""
+def _distance(mark: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each place's distance to the nearest marked one of its row; a million if there is none."""
     n = len(mark)
     at = np.arange(n)
-    before = np.maximum.accumulate(np.where(mark, at, -(10**6)))
-    after = np.minimum.accumulate(np.where(mark, at, 10**7)[::-1])[::-1]
-    return np.minimum(at - before, after - at)
+    length = np.diff(first)
+    before = np.maximum.accumulate(np.where(mark, at, -1))
+    after = np.minimum.accumulate(np.where(mark, at, n)[::-1])[::-1]
+    back = np.where(before >= np.repeat(first[:-1], length), at - before, 10**6)
+    return np.minimum(back, np.where(after < np.repeat(first[1:], length), after - at, 10**6))
 
 
 FEATURES = ("length", "hits", "density", "weight", "strongest", "distinct", "leet_hits", "persons", "near", "near_share", "capitals", "all_caps", "exclaims", "questions", "marks", "digits_in_words", "marks_in_words", "repeats")
@@ -117,7 +121,7 @@ def features(column, lex: Lexicon) -> np.ndarray:
     leet = _sums(lex.of(spelled, spelled_heads) > 0, spelled.first)
     person = np.isin(words.value, lex.persons)
     persons = _sums(person, words.first)
-    near = _sums(hit & (_distance(person) <= NEAR), words.first) if len(person) else np.zeros(rows)
+    near = _sums(hit & (_distance(person, words.first) <= NEAR), words.first) if len(person) else np.zeros(rows)
     data, offsets = buffer(column)
     chars = np.maximum(np.diff(offsets).astype(np.float64), 1)
     upper = (data >= 65) & (data <= 90)
@@ -180,7 +184,7 @@ def _featured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = features(batch.column(0), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "weight", "part", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "weight", "part", "tie", "x"])
 
     return run
 
@@ -192,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> M
     sample = C.materialize(_labels.sample(documents, labels, "toxic", each), "labelled")
     lex = lexicon(learn_lexicon(sample.filter("part < 0.4")))
     shared = spark.sparkContext.broadcast(lex)
-    rows = sample.filter("part >= 0.4").select("text", "label", "weight", "part").mapInArrow(_featured(shared), "label int, weight double, part double, x array<double>").toPandas()
+    rows = sample.filter("part >= 0.4").select("text", "label", "weight", "part", "tie").mapInArrow(_featured(shared), "label int, weight double, part double, tie bigint, x array<double>").toPandas().sort_values(["part", "tie"])
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES))
     y, w = rows["label"].to_numpy(float), rows["weight"].to_numpy(float)
     fitting = rows["part"].to_numpy() < 0.8
