@@ -9,6 +9,7 @@ QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_tiff_media": tiff.op4_tiff_media,
+    "tiff_pages": tiff.tiff_pages,
     "op5_packing": packing.op5_packing,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_sharding": sharding.op7_sharding,

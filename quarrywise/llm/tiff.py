@@ -1,14 +1,17 @@
 """TIFF columns: write pages, walk image directories, decode strips and tiles, one row per page.
 
-Reads classic TIFF of either byte order with PackBits, LZW, deflate or no compression, strips or
-tiles, chunky samples of 8 or 16 bits, and predictor 2 (horizontal differences) undone.  What it
-cannot read gives one row with an error in place of pages.
-
-The query stores each text as 8-bit grey pages 576 wide, of at most PAGE_ROWS rows, deflated strips
-with predictor 2 (PackBits for a single row), reads the file back and describes what it read.
-
-A null medium gives no pages; a null text is stored as an empty one.  Repeated rows are handled each.
-An empty table gives no rows.  Extra columns of the documents are not read.
+Reads classic and Big TIFF of either byte order with PackBits, LZW, deflate or no compression, strips or
+tiles, samples side by side or in planes, of 1, 2, 4, 8, 16 or 32 bits, either fill order, and predictors 2 (horizontal
+differences) and 3 (of floating point) undone.  A page that cannot be read, or would take over ``most`` bytes,
+gives a row with an error in place of pixels; the others of its file stand.  What is decoded is never
+longer than the page says, whatever the file holds.
+
+The query stores each text as 8-bit grey pages 576 wide, of at most PAGE_ROWS rows: in tiles if there are TILE rows,
+else in strips; deflated, by LZW (both with predictor 2) or by PackBits as the checksum of its bytes says, so
+equal texts are stored alike.  It reads the file back and describes what it read.
+
+A null medium gives no pages; a null text is stored as an empty one; a very long text has more pages.  Repeated rows
+are handled each.  An empty table gives no rows.  Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +25,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _common as C
 
 WIDTH = 576
 PAGE_ROWS = 1024
 STRIP_ROWS = 64
+#: Rows of a tile of the query's files, and its columns.
+TILE = (64, 16)
+#: Bytes of the largest page that is decoded.
+MOST_BYTES = 1 << 28
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Field types of the format: code -> (letter of struct, bytes).  Fixed values.
-_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4)}
+_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
+#: Each byte with its bits the other way round.
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 class TiffError(ValueError):
@@ -52,9 +62,10 @@ class Page:
 # --- compression -------------------------------------------------------------------------
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, size: int | None = None) -> bytes:
+    """The bytes that runs and literals stand for, up to size."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (size is None or len(out) < size):
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -64,7 +75,7 @@ def packbits_decode(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
-    return bytes(out)
+    return bytes(out if size is None else out[:size])
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -73,6 +84,7 @@ def packbits_encode(data: bytes) -> bytes:
     if not len(a):
         return b""
     edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+    long_ = np.flatnonzero(np.diff(edge) >= 3)
     out, literal = bytearray(), 0  # literal: where bytes not yet written begin
 
     def flush(end: int) -> None:
@@ -81,21 +93,20 @@ def packbits_encode(data: bytes) -> bytes:
             out.append(len(part) - 1)
             out.extend(part)
 
-    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        if e - s >= 3:
-            flush(s)
-            for k in range(s, e, 128):
-                n = min(128, e - k)
-                out.extend((257 - n, data[s]) if n > 1 else (0, data[s]))
-            literal = e
+    for s, e in zip(edge[long_].tolist(), edge[long_ + 1].tolist()):
+        flush(s)
+        for k in range(s, e, 128):
+            n = min(128, e - k)
+            out.extend((257 - n, data[s]) if n > 1 else (0, data[s]))
+        literal = e
     flush(len(a))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; the width grows one code early."""
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first; the width grows one code early.  Ends with size bytes."""
     table: list[bytes] = []
-    out, width, have, bits, previous = [], 9, 0, 0, b""
+    out, length, width, have, bits, previous = [], 0, 9, 0, 0, b""
     for byte in data:
         bits = (bits << 8 | byte) & 0xFFFFFF
         have += 8
@@ -124,10 +135,13 @@ def lzw_decode(data: bytes) -> bytes:
         if previous and len(table) < 4096:
             table.append(previous + entry[:1])
         out.append(entry)
+        length += len(entry)
+        if size is not None and length >= size:
+            break
         previous = entry
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
-    return b"".join(out)
+    return b"".join(out)[:size]
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -173,14 +187,18 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def _unpack(data: bytes, compression: int, size: int) -> bytes:
+    """The first size bytes of a strip or tile."""
     if compression == NONE:
-        return data
+        return data[:size]
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data, size)
+        try:
+            return zlib.decompressobj().decompress(data, size)
+        except zlib.error as e:
+            raise TiffError(f"deflate data: {e}") from e
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, size)
     raise TiffError(f"compression {compression} is not known")
 
 
@@ -200,67 +218,119 @@ def _pack(data: bytes, compression: int) -> bytes:
 
 
 def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """(byte order, tags) of each image directory in the chain."""
+    """(byte order, tags) of each image directory in the chain; a tag without values is left out."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise TiffError("no TIFF header")
-    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
-    while at:
-        if at in seen:
-            raise TiffError("directories form a loop")
-        seen.add(at)
-        try:
-            (n,) = struct.unpack_from(order + "H", data, at)
+    try:
+        version = struct.unpack_from(order + "H", data, 2)[0] if order else 0
+        if version == 43 and struct.unpack_from(order + "HH", data, 4) == (8, 0):
+            word, number, inline, at = order + "Q", order + "Q", 8, struct.unpack_from(order + "Q", data, 8)[0]
+        elif version == 42:
+            word, number, inline, at = order + "I", order + "H", 4, struct.unpack_from(order + "I", data, 4)[0]
+        else:
+            raise TiffError("no TIFF header")
+        size, head, seen = 4 + 2 * inline, struct.calcsize(number), set()
+        while at:
+            if at in seen:
+                raise TiffError("directories form a loop")
+            seen.add(at)
+            (n,) = struct.unpack_from(number, data, at)
+            if at + head + size * n > len(data):
+                raise TiffError("a directory leaves the file")
             tags = {}
             for i in range(n):
-                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-                if kind not in _TYPES:
+                place = at + head + size * i
+                tag, kind = struct.unpack_from(order + "HH", data, place)
+                (count,) = struct.unpack_from(word, data, place + 4)
+                if kind not in _TYPES or not count:
                     continue
-                letter, size = _TYPES[kind]
-                place = at + 10 + 12 * i
-                if count * size > 4:
-                    (place,) = struct.unpack_from(order + "I", data, place)
+                letter, width = _TYPES[kind]
+                place += 4 + inline
+                if count * width > inline:
+                    (place,) = struct.unpack_from(word, data, place)
+                if place + count * width > len(data):
+                    raise TiffError("a tag leaves the file")
                 tags[tag] = struct.unpack_from(f"{order}{count}{letter}", data, place)
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-        except struct.error as e:
-            raise TiffError("a directory leaves the file") from e
-        yield order, tags
-
-
-def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
+            (at,) = struct.unpack_from(word, data, at + head + size * n)
+            yield order, tags
+    except struct.error as e:
+        raise TiffError("a directory leaves the file") from e
+
+
+def _samples(raw: bytes, lines: int, across: int, samples: int, bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """(lines, across, samples) of one strip or tile, its predictor undone."""
+    if bits < 8:
+        flat = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(lines, -1), axis=1)[:, : across * samples * bits]
+        weight = 1 << np.arange(bits - 1, -1, -1)
+        return (flat.reshape(lines, across, samples, bits) @ weight).astype(np.uint8)
+    if predictor == 3:
+        rows = np.frombuffer(raw, np.uint8).reshape(lines, -1, samples)
+        rows = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(lines, kind.itemsize, across * samples)
+        block = np.ascontiguousarray(rows.transpose(0, 2, 1)).view(kind.newbyteorder(">"))
+        return block.reshape(lines, across, samples)
+    block = np.frombuffer(raw, kind).reshape(lines, across, samples)
+    if predictor == 2:
+        whole = np.dtype(f"u{kind.itemsize}")
+        block = np.cumsum(block.astype(kind.newbyteorder("=")).view(whole), axis=1, dtype=whole).view(kind.newbyteorder("="))
+    return block
+
+
+def _page(data: bytes, order: str, tags: dict[int, tuple], most: int = MOST_BYTES) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
-    width, height, samples = one(256), one(257), one(277, 1)
-    bits, compression, predictor = one(258, 1), one(259, NONE), one(317, 1)
-    if not width or not height:
-        raise TiffError("no image size")
-    if set(tags.get(258, (1,))) - {bits} or bits not in (8, 16) or one(284, 1) != 1 or predictor not in (1, 2):
+    width, height, samples = one(256, 0), one(257, 0), one(277, 1)
+    bits, compression, predictor, form, planes = one(258, 1), one(259, NONE), one(317, 1), one(339, 1), one(284, 1)
+    for name, value in (("size", width), ("size", height), ("samples", samples)):
+        if not isinstance(value, int) or value < 1:
+            raise TiffError(f"no image {name}")
+    letter = {1: "u", 2: "i", 3: "f"}.get(form)
+    fits = bits in (8, 16, 32) and predictor in (1, 2) or bits in (1, 2, 4) and predictor == 1 or bits in (16, 32) and predictor == 3 and letter == "f"
+    if set(tags.get(258, (1,))) - {bits} or not fits or letter is None or letter == "f" and bits < 16 or planes not in (1, 2) or one(266, 1) not in (1, 2):
         raise TiffError("samples of this form are not known")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    kind = np.dtype("u1") if bits < 8 else np.dtype(f"{order}{letter}{bits // 8}")
+    if width * height * samples * kind.itemsize > most:
+        raise TiffError(f"the page has over {most} bytes")
     tiled = 322 in tags
-    across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
+    across, down = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
+    if min(across, down) < 1 or across * down * samples * kind.itemsize > most:
+        raise TiffError("strips or tiles of no size, or too large")
     offsets, counts = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
     columns, rows = -(-width // across), -(-height // down)
-    if not offsets or not counts or len(offsets) != columns * rows or len(counts) != len(offsets):
+    each, layers = (samples, 1) if planes == 1 else (1, samples)
+    if not offsets or not counts or len(offsets) != columns * rows * layers or len(counts) != len(offsets):
         raise TiffError("strips or tiles are missing")
     pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k, (at, count) in enumerate(zip(offsets, counts)):
+        layer, k = divmod(k, columns * rows)
         y, x = k // columns * down, k % columns * across
         lines = down if tiled else min(down, height - y)
-        size = lines * across * samples * kind.itemsize
-        raw = _unpack(data[at : at + count], compression, size)
+        size = lines * -(-across * each * bits // 8)
+        packed = data[at : at + count]
+        raw = _unpack(packed.translate(_MIRRORED) if one(266, 1) == 2 else packed, compression, size)
         if len(raw) < size:
             raise TiffError("a strip or tile is too short")
-        block = np.frombuffer(raw[:size], kind).reshape(lines, across, samples)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        part = block[: height - y, : width - x]
-        pixels[y : y + part.shape[0], x : x + part.shape[1]] = part
+        part = _samples(raw, lines, across, each, bits, kind, predictor)[: height - y, : width - x]
+        pixels[y : y + part.shape[0], x : x + part.shape[1], slice(None) if planes == 1 else slice(layer, layer + 1)] = part
     return Page(width, height, samples, bits, compression, predictor, tiled, pixels)
 
 
-def read(data: bytes) -> list[Page]:
-    """All pages of a file, in the order of its directories."""
-    return [_page(data, order, tags) for order, tags in _directories(data)]
+def scan(data: bytes, most: int = MOST_BYTES) -> Iterator[Page | TiffError]:
+    """Each page of a file in the order of its directories, or why it cannot be read; last, why there are no more."""
+    try:
+        for order, tags in _directories(data):
+            try:
+                yield _page(data, order, tags, most)
+            except TiffError as e:
+                yield e
+    except TiffError as e:
+        yield e
+
+
+def read(data: bytes, most: int = MOST_BYTES) -> list[Page]:
+    """All pages of a file; a TiffError if one of them cannot be read."""
+    pages = list(scan(data, most))
+    for p in pages:
+        if isinstance(p, TiffError):
+            raise p
+    return pages
 
 
 # --- writing -----------------------------------------------------------------------------
@@ -312,27 +382,18 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
 
-def pages(media: DataFrame, key: str, column: str) -> DataFrame:
-    """A row for each page of each medium: the key, the page's form and its samples; or the error of an unreadable file."""
+def pages(media: DataFrame, key: str, column: str, most: int = MOST_BYTES) -> DataFrame:
+    """A row for each page of each medium: the key, the page's form and its samples, or its error."""
     C.small_batches(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
+    kinds = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "tiled": pa.bool_(), "pixels": pa.binary(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, rows = [], []
-            for r, data in enumerate(batch.column(1).to_pylist()):
-                if data is None:
-                    continue
-                try:
-                    for k, p in enumerate(read(data)):
-                        take.append(r)
-                        rows.append({"page": k, "width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "pixels": p.pixels.tobytes()})
-                except (TiffError, zlib.error, struct.error) as e:
-                    take.append(r)
-                    rows.append({"error": str(e)})
-            names = ["page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels", "error"]
-            kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array([x.get(n) for x in rows], t) for n, t in zip(names, kinds))], names=[key, *names])
+            for r, data in enumerate(batch.column(1)):
+                for k, p in enumerate(scan(data.as_py(), most) if data.is_valid else ()):
+                    row = {"page": k, "error": str(p)} if isinstance(p, TiffError) else {"page": k, **vars(p), "pixels": p.pixels.tobytes()}
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), *(pa.array([row.get(n)], t) for n, t in kinds.items())], names=[key, *kinds])
 
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, {PAGE_SCHEMA}")
 
@@ -347,7 +408,8 @@ def store(data: bytes) -> bytes:
     """A payload as a TIFF file."""
     grid = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     parts = [grid[i : i + PAGE_ROWS] for i in range(0, len(grid), PAGE_ROWS)]
-    return write(parts, PACKBITS) if len(grid) == 1 else write(parts, DEFLATE, predictor=2)
+    compression = (DEFLATE, LZW, PACKBITS)[zlib.crc32(data) % 3]
+    return write(parts, compression, 1 if compression == PACKBITS else 2, tile=TILE if len(grid) >= TILE[1] else None)
 
 
 def feature(found: list[Page]) -> str:
@@ -367,6 +429,20 @@ def feature(found: list[Page]) -> str:
     return f"{WIDTH}x{len(grid)}/{len(found)} mean={mean:.3f} dev={deviation:.3f} entropy={entropy:.4f} step={step:.3f} hash={int(bits, 2):016x}"
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r, text in enumerate(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([store(payload(text.as_py())[1])], pa.binary())], names=["doc_id", "media"])
+
+
+def tiff_pages(spark, sf_dir: str) -> DataFrame:
+    """A row for each page of each document's file, the samples as their digest."""
+    C.small_batches(spark)
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", C.text_or_empty().alias("text"))
+    media = docs.mapInArrow(_stored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return pages(media, "doc_id", "media").withColumn("pixels_sha256", F.sha2("pixels", 256)).drop("pixels")
+
+
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
