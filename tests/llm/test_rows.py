@@ -138,6 +138,52 @@ def test_random_values_after_a_sign_and_shorter_ones(spark, ratios):
     assert masked == {i: t.replace(want, "[secret]") if want else t for i, (t, want) in enumerate(cases)}
 
 
+def test_very_many_spans(spark, ratios):
+    import time
+
+    r = random.Random(9)
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(r.choice([f"password=abcdef{i}", f"é token: {i}zzzzzz", "q7RtY2mKx9Zp4LwV8bNc3HdF", "deadbeef" * 4, "plain"]) for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (found,) = secrets.find(df, ratios).collect()
+        (masked,) = secrets.redact(df, ratios).collect()
+        took.append(time.perf_counter() - began)
+        assert [(s.start, s.kind, s.end) for s in found.base] == base(text)
+        want, at = [], 0
+        for s in found["all"]:
+            if s.start >= at:
+                want += [text[at : s.start], "[secret]"]
+            at = max(at, s.end)
+        assert masked.text == "".join(want) + text[at:] and sum(s.kind == 3 for s in found["all"]) > n / 10
+    assert took[1] < 6 * took[0]
+
+
+def test_models_equal_plain_counts(spark):
+    import math
+
+    rows = [("q7Rt", True), ("Yz", True), ("word", False), ("wore", False), ("é1", True), ("x", False), (None, True)]
+    got = secrets.train(spark.createDataFrame(rows, "sample string, random boolean"))
+    table = {}
+    for kind in (True, False):
+        pairs = [(a, b) for s, k in rows if k == kind and s and s.isascii() for a, b in zip(s, s[1:])]
+        share = lambda b, pairs=pairs: (sum(y == b for _, y in pairs) + 0.5) / (len(pairs) + 0.5 * secrets.ALPHABET)
+        table[kind] = lambda a, b, pairs=pairs, share=share: math.log((pairs.count((a, b)) + secrets.BACKOFF * share(b)) / (sum(x == a for x, _ in pairs) + secrets.BACKOFF))
+    for a, b in ("wo", "q7", "Yz", "zz"):
+        assert got[ord(a) * 128 + ord(b)] == round(table[True](a, b) - table[False](a, b), 4)
+
+
+def test_scans_of_odd_tables(spark, ratios, tmp_path):
+    rows = [(1, None, 1), (1, "", 2), (2, "api_key=abcdef", 3), (2, "api_key=abcdef", 3), (None, "AKIA" + "Z9" * 10, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    docs.write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    got = sorted(((r.doc_id or 0, r.n_assign, r.n_access, r.spans) for r in secrets.op6_secret_scans(spark, str(tmp_path / "t")).collect()))
+    assert got == [(0, 0, 1, "access:0:24"), (1, 0, 0, ""), (1, 0, 0, ""), (2, 1, 0, "assign:0:14"), (2, 1, 0, "assign:0:14")]
+    assert secrets.op6_secret_scans(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_redaction(spark, ratios):
     rows = [(1, "a password=abcdef12 b " + "0f" * 14 + " é AKIA" + "Z9" * 10), (2, "clean"), (3, None)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, base int")
