@@ -120,6 +120,10 @@ class Words:
     def bytes_of(self, i: int, alphabet: Alphabet) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes().translate(alphabet.table)
 
+    def joined(self, i: int, j: int, alphabet: Alphabet) -> bytes:
+        """Words i to j - 1 with a blank between them."""
+        return b" ".join(self.data[self.start[i] : self.end[j - 1]].tobytes().translate(alphabet.table).split())
+
 
 def _pieces(code: np.ndarray, fresh: np.ndarray):
     at, n = 0, len(code)

@@ -200,8 +200,8 @@ def judged(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_words", [400_000, 40])
-def test_judged_like_brute_force(spark, block_words):
+@pytest.mark.parametrize("most_bytes", [decontaminate.MOST_BYTES, 0])
+def test_judged_like_brute_force(spark, most_bytes):
     r = random.Random(8)
     words = [f"v{i}" for i in range(60)]
     items = [(i, " ".join(r.choices(words, k=k))) for i, k in enumerate([1, 5, 13, 14, 40, 40, 25])] + [(90, None), (91, " .. "), (None, "lone item words here"), (4, "again four")]
@@ -215,16 +215,25 @@ def test_judged_like_brute_force(spark, block_words):
     rows += [(5, rows[5][1]), (None, rows[6][1]), (200, None), (201, "é" * 3 + " LONE item, words; here")]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, N_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.judge(df, bench, block_words=block_words).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    got = decontaminate.judge(df, bench, most_bytes=most_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert sorted((tuple(x) for x in got), key=repr) == judged(rows, items)
-    clean = decontaminate.decontaminate(df, bench)
+    clean = decontaminate.decontaminate(df, bench, most_bytes=most_bytes)
     assert clean.columns == df.columns and clean.count() == sum(not x[-1] for x in judged(rows, items))
-    cut = decontaminate.decontaminate(df, bench, remove="spans")
+    cut = decontaminate.decontaminate(df, bench, remove="spans", most_bytes=most_bytes)
     assert cut.count() == len(rows)
     left = {r.doc_id: r.text for r in cut.collect()}
     assert "LONE" not in left[201] and left[200] is None
 
 
+def test_long_texts_and_common_windows(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(i, passage) for i in range(400)] + [(900, "a " * 5000)]
+    text = "b c " * 60_000 + passage + " " + "a " * 40
+    df = spark.createDataFrame([(1, text), (2, "a " * 3000)], "doc_id long, text string")
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in decontaminate.judge(df, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == judged([(1, text), (2, "a " * 3000)], items)
+
+
 def test_nothing_to_judge(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
