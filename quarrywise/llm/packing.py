@@ -5,11 +5,13 @@ shuffled, or the ids too if asked for.  A document longer than a window is first
 windows; what is left of each goes, longest first, to the open window with the least
 sufficient room.  A segment tree over remaining capacities 0..4096 finds that window.
 Pieces are dealt into buckets by hash, about BUCKET_ROWS documents to each, packed apart: the
-windows left partly empty are one or two a bucket.  A bucket gets its pieces by a salted key, so
-repeated documents spread over all of them.
+windows left partly empty are one or two a bucket.  A piece's bucket follows from its doc_id and start; where a task
+meets a doc_id again, from the task and a number too, so repeated documents spread over all buckets.  Tables without
+repeated ids are packed alike however they are laid out.
 
-Null texts are empty: one piece holding the end id alone.  Repeated rows are packed each.  An empty
-table gives no rows.  Only doc_id (any type, null too) and text are read.
+Null texts are empty: one piece holding the end id alone.  A very long text is cut into windows, and words of over
+LONGEST characters are not remembered.  Repeated rows are packed each; ties in length go by doc_id and start.  An empty
+table gives no rows.  Only doc_id (any type, null too) and text are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -30,8 +33,12 @@ from . import _common as C
 WINDOW = 4096
 END_ID = 2
 BUCKET_ROWS = 4000
-#: Chunks in each of two generations that a worker remembers: about 80 MB.
-CACHE_WORDS = 300_000
+#: Bytes, with BYTES_EACH for each chunk, in each of two generations that a worker remembers; and the longest chunk that it does.
+CACHE_BYTES = 48 << 20
+BYTES_EACH = 130
+LONGEST = 200
+#: Doc_ids that a task remembers to spread repeated ones.
+MET = 500_000
 _tokenizers: dict[str, "WordEncoder"] = {}
 
 
@@ -61,6 +68,7 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,37 +80,44 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(some):
-                self.known.update((w, self._ids(w)) for w in some)
+                for w in some:
+                    self._put(w, self._ids(w))
                 continue
             raw, start = ids.tobytes(), 0
             for w, end in zip(some, (4 * at).tolist()):
-                self.known[w] = raw[start:end]
+                self._put(w, raw[start:end])
                 start = end
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Make all of chunks known."""
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
+    def _put(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += BYTES_EACH + len(word) + len(ids)
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Make all of chunks known; the ids of those too long to remember."""
+        if self.size > CACHE_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
+        long_ = {x: self._ids(x) for x in chunks if len(x) > LONGEST}
         older, known = self.older, self.known
         new = []
-        for x in chunks - known.keys():
+        for x in chunks - known.keys() - long_.keys():
             ids = older.get(x)
             if ids is None:
                 new.append(x)
             else:
-                known[x] = ids
+                self._put(x, ids)
         tailed = {x: x[:-1] for x in new if x[-1] in ".,;:!?" and x[:-1].isalpha()}
         plain = {x for x in new if x.isalpha()} | set(tailed.values())
-        for x in list(plain & older.keys()):
-            known[x] = older[x]
+        for x in plain & older.keys() - known.keys():
+            self._put(x, older[x])
         self._plain(sorted(plain - known.keys()))
         for x in new:
             if x in tailed:
                 if x[-1] not in known:
-                    known[x[-1]] = self._ids(x[-1])
-                known[x] = known[tailed[x]] + known[x[-1]]
+                    self._put(x[-1], self._ids(x[-1]))
+                self._put(x, known[tailed[x]] + known[x[-1]])
             elif x not in known:
-                known[x] = self._ids(x)
+                self._put(x, self._ids(x))
+        return long_
 
     def _words(self, text: str) -> list[str] | None:
         """The chunks of a text, or None if it must be encoded whole."""
@@ -121,9 +136,10 @@ class WordEncoder:
                 size += len(texts[end])
                 end += 1
             split = [self._words(t) for t in texts[at:end]]
-            self._learn(set().union(*(w for w in split if w)))
+            long_ = self._learn(set().union(*(w for w in split if w)))
+            ids = (lambda w: long_.get(w) or self.known[w]) if long_ else self.known.__getitem__
             for text, words in zip(texts[at:end], split):
-                raw = self._ids(text) if words is None else b"".join(map(self.known.__getitem__, words))
+                raw = self._ids(text) if words is None else b"".join(map(ids, words))
                 yield np.frombuffer(raw, "<u4")
             at = end
 
@@ -189,10 +205,15 @@ def best_fit(lengths: list[int], capacity: int = WINDOW) -> tuple[list[int], lis
 
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, salt = encoder(path).encode, 0
+        encode, met, task = encoder(path).encode, {}, TaskContext.get().partitionId()
         for batch in batches:
-            take, start, length, crc, total, ids = [], [], [], [], [], []
+            take, start, length, crc, total, salt, ids = [], [], [], [], [], [], []
+            docs = batch.column(0).to_pylist()
             for r, found in enumerate(encode(batch.column(1).to_pylist())):
+                doc = str(docs[r])
+                if len(met) >= MET and doc not in met:
+                    met.clear()
+                again = met[doc] = met.get(doc, -1) + 1
                 found = np.append(found, np.uint32(end_id)).astype("<u4")
                 for a in range(0, len(found), capacity):
                     piece = found[a : a + capacity]
@@ -201,11 +222,11 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                     length.append(len(piece))
                     crc.append(zlib.crc32(piece.tobytes()))
                     total.append(len(found))
+                    salt.append(again and (task << 32) + again)
                     if keep_ids:
                         ids.append(piece.astype(np.int32))
-            columns = [batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(np.arange(salt, salt + len(take)))]
+            columns = [batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, salt))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
-            salt += len(take)
             if keep_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")

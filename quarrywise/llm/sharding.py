@@ -4,12 +4,13 @@ Rows are ordered by (MD5 of the text, doc_id, a tie number fixed when the keys a
 written), so copies of a text lie together and no two keys are equal.  A size-weighted
 sample of keys gives quantile boundaries for many more ranges than shards; a range that holds
 over twice its share is subdivided by a new sample of its own rows.  With the bytes and rows of
-every range known, a row's place in the global order of bytes decides its shard: shard k takes
-the rows whose middle byte lies in the k-th of equal parts.  Two shards' bytes differ by no more
-than two documents.  Texts are read once; all later steps use keys of fixed width.
+every range known, whole ranges fall to shards; in a range that a shard boundary cuts, a row's place in the global
+order of bytes decides: shard k takes the rows whose middle byte lies in the k-th of equal parts.  Two shards'
+bytes differ by no more than two documents.  Texts are read once; all later steps use keys of fixed width.
 
-Law ``bytes``.  A null text has size 1 and the checksum of no bytes.  Repeated rows are placed each.
-An empty table gives no rows.  A null doc_id sorts first.
+Law ``bytes``.  A null text has size 1 and the checksum of no bytes; a very long one is placed whole.  Copies of a text
+are neighbours, so only those are parted that a shard boundary falls among.  Repeated rows are placed each.  An empty
+table gives no rows.  A null doc_id sorts first.  Only doc_id and text are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 SHARDS = 8
-#: Rows of one range, up to MOST_RANGES ranges.
+#: Rows of one range, up to MOST_RANGES ranges; beyond 33 million rows ranges grow, to 610,000 rows (60 MB) of ten billion.
 RANGE_ROWS = 2000
-MOST_RANGES = 4096
-#: Sampled keys for each range.
-SAMPLE = 48
-_ROUNDS = 4
+MOST_RANGES = 1 << 14
+#: Sampled keys for each range: the driver holds SAMPLE * MOST_RANGES keys at most.
+SAMPLE = 24
+#: Rounds of subdividing, each with twice the sample of the one before, after which it is an error that ranges are overfull.
+MOST_ROUNDS = 24
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -73,25 +75,22 @@ def _draw(rows: DataFrame, rate: Column) -> list:
 
 
 def _ranges(rows: DataFrame, total: int, count: int, range_rows: int) -> tuple[list[str], list[int], list[int]]:
-    """Bounds of ranges, and each range's bytes and rows.  The driver holds SAMPLE * MOST_RANGES keys at most."""
+    """Bounds of ranges, and each range's bytes and rows.  None holds over twice its share besides its largest row."""
     ranges = max(1, min(MOST_RANGES, -(-count // range_rows)))
-    bounds = _quantiles(_draw(rows, F.lit(SAMPLE * ranges / total)), ranges)
-    for turn in range(_ROUNDS):
-        found = {r["range"]: r for r in rows.groupBy(_range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-        size = [found[i]["bytes"] if i in found else 0 for i in range(len(bounds) + 1)]
-        n = [found[i]["rows"] if i in found else 0 for i in range(len(bounds) + 1)]
-        over = [i for i in range(len(size)) if size[i] > 2 * total / ranges and n[i] > 1]
-        if not over or turn == _ROUNDS - 1:
-            break
-        rate = F.get(_literal([SAMPLE * ranges / total if i in set(over) else 0.0 for i in range(len(size))], "double"), _range_of(F.col("key"), bounds))
+    share = total / ranges
+    bounds = _quantiles(_draw(rows, F.lit(SAMPLE / share)), ranges)
+    for turn in range(MOST_ROUNDS):
+        found = {r["range"]: r for r in rows.groupBy(_range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.max("size").alias("most")).collect()}
+        size, n, most = ([found[i][k] if i in found else 0 for i in range(len(bounds) + 1)] for k in ("bytes", "rows", "most"))
+        over = {i for i in range(len(size)) if size[i] - most[i] > 2 * share}
+        if not over:
+            return bounds, size, n
+        rate = F.get(_literal([SAMPLE * 2**turn / share if i in over else 0.0 for i in range(len(size))], "double"), _range_of(F.col("key"), bounds))
         drawn: dict[int, list] = {}
         for r in _draw(rows, rate):
             drawn.setdefault(bisect_left(bounds, r["key"]), []).append(r)
-        more = [b for i, sample in drawn.items() for b in _quantiles(sample, -(-size[i] * ranges // total))]
-        if not set(more) - set(bounds):
-            break
-        bounds = sorted({*bounds, *more})
-    return bounds, size, n
+        bounds = sorted({*bounds, *(b for i, sample in drawn.items() for b in _quantiles(sample, int(size[i] // share) + 1))})
+    raise RuntimeError(f"{len(over)} ranges stayed overfull")
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -122,13 +121,16 @@ def _running(values: list[int]):
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write documents as Parquet folders shard=0, shard=1, ...; a document's copies follow its first."""
-    spark = documents.sparkSession
-    key = C.fresh(documents, "__row")
+    """Write documents and their slots as Parquet folders shard=0, shard=1, ...
+
+    Where documents have a column shard or slot, in any case, the new one's name ends in an underscore.
+    """
+    key, folder, slot = (C.fresh(documents, x) for x in ("__row", "shard", "slot"))
     kept = C.materialize(documents.withColumn(key, F.monotonically_increasing_id()), "rows")
-    placed = shard(kept.select(F.col(key).alias("doc_id"), "text"), shards).select(F.col("doc_id").alias(key), "shard", "slot")
+    placed = shard(kept.select(F.col(key).alias("doc_id"), "text"), shards).select(F.col("doc_id").alias(key), F.col("shard").alias(folder), F.col("slot").alias(slot))
     spread = C.partitions_for(kept.count(), 50_000)
-    kept.join(placed, key).drop(key).repartition(spread, "shard", F.expr(f"slot div {50_000}")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    whole = kept.join(placed, key).drop(key).repartition(spread, folder, F.expr(f"`{slot}` div {50_000}"))
+    whole.sortWithinPartitions(folder, slot).write.partitionBy(folder).parquet(path)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

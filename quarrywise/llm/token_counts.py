@@ -8,8 +8,8 @@ is cut anew until a cut falls on an old one beyond the edit; what lies after sta
 new pre-tokens are encoded, and only the sums on the paths of the changed blocks are updated.
 
 A null text is empty, a null list of edits has none; positions beyond the end are moved to it.  Edits
-apply one after the other.  Repeated rows are counted each.  An empty table gives no rows.
-Columns named as the outputs are replaced; others stay.
+apply one after the other.  A very long text is counted whole; pre-tokens of over LONGEST characters are not
+remembered.  Repeated rows are counted each.  An empty table gives no rows.  Columns named as the outputs are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from . import _common as C
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTEXT = 3
 BLOCK = 32
-#: Pre-tokens whose counts a worker remembers: about 50 MB.
-CACHE = 400_000
+#: Bytes, with BYTES_EACH for each, of the pre-tokens whose counts a worker remembers; and the longest that it does.
+CACHE_BYTES = 48 << 20
+BYTES_EACH = 130
+LONGEST = 200
 _counters: dict[str, "Counter"] = {}
 
 
@@ -48,17 +50,21 @@ class Counter:
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.size = 0
 
     def counts(self, parts: list[str]) -> list[int]:
         try:
             return [self.known[p] for p in parts]
         except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
+            if self.size > CACHE_BYTES:
+                self.known, self.size = {}, 0
             new = list({p for p in parts if p not in self.known})
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((p, len(e.ids)) for p, e in zip(new, found))
-            return [self.known[p] for p in parts]
+            found = {p: len(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            for p in new:
+                if len(p) <= LONGEST:
+                    self.known[p] = found[p]
+                    self.size += BYTES_EACH + len(p)
+            return [found[p] if p in found else self.known[p] for p in parts]
 
 
 def counter(path: str) -> Counter:

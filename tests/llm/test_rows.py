@@ -65,6 +65,46 @@ def test_packed_pieces_hold_every_id_once(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_does_not_depend_on_the_layout(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choices(["alpha", "beta", "gamma."], k=r.choice([0, 5, 900, 9000])))) for i in range(90)] + [(None, "last")]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, salt int")
+    key = lambda x: sorted(map(tuple, packing.pack(x, bucket_rows=20).collect()), key=repr)
+    assert key(df.repartition(5, "text")) == key(df.coalesce(1).sort("text"))
+
+
+def test_repeated_documents_spread_over_buckets(spark):
+    df = spark.createDataFrame([(1, "same words here")] * 400, "doc_id long, text string").repartition(2)
+    got = packing.pack(df, bucket_rows=50).collect()
+    sizes = {}
+    for x in got:
+        sizes[x.sequence_id >> 32] = sizes.get(x.sequence_id >> 32, 0) + 1
+    assert len(got) == 400 and len(sizes) > 5 and max(sizes.values()) < 120
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 20_000)
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choices("abcdef", k=r.choice([3, 8, 5000]))) for _ in range(12)) for _ in range(60)]
+    enc, counter = packing.WordEncoder(packing.default_path()), token_counts.Counter(token_counts.default_path())
+    for text in texts:
+        assert next(enc.encode([text])).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert token_counts.CountedText(text, counter).total == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert max(map(len, [*enc.known, *enc.older, *counter.known])) <= 200
+        assert sum(map(len, enc.known)) < 60_000 and sum(map(len, counter.known)) < 60_000
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    rows = [(i, "same text") for i in range(600)] + [(1000 + i, "x" * 20_000) for i in range(3)] + [(2000 + i, f"t{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = sharding.keyed(df).cache()
+    total = keys.agg(F.sum("size")).first()[0]
+    bounds, size, n = sharding._ranges(keys, total, len(rows), 20)
+    most = [max((r.size for r in keys.filter(sharding._range_of(F.col("key"), bounds) == i).collect()), default=0) for i in range(len(size))]
+    assert sum(n) == len(rows) and sum(size) == total and all(s - m <= 2 * total / 34 for s, m in zip(size, most))
+
+
 def test_shards_balance_bytes(spark):
     r = random.Random(4)
     rows = [(i, "same text" if i % 3 == 0 else "é" * r.randrange(0, 200)) for i in range(900)] + [(5, "same text")] * 40 + [(None, None), (901, "z" * 3000)]
@@ -85,10 +125,11 @@ def test_shards_balance_bytes(spark):
 
 
 def test_written_shards_hold_all_rows(spark, tmp_path):
-    df = spark.createDataFrame([(i % 5, f"text {i}", i) for i in range(50)], "doc_id long, text string, extra int")
+    df = spark.createDataFrame([(i % 5, f"text {i}", i, i + 1) for i in range(50)], "doc_id long, text string, Shard int, slot int")
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.extra for r in back.collect()) == list(range(50))
+    assert sorted((r.Shard, r.slot) for r in back.collect()) == [(i, i + 1) for i in range(50)]
+    assert sorted((tmp_path / "out").glob("shard_=*")) and sorted(r.slot_ for r in back.filter("shard_ = 0").collect()) == list(range(back.filter("shard_ = 0").count()))
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -282,3 +323,21 @@ def test_recount_encodes_little(spark):
     assert got[1].n_tokens == len(c.tokenizer.encode(got[1].text, add_special_tokens=False).ids)
     assert got[1].n_reencoded < 40 < got[1].n_pretokens and "[edited]" in got[1].text
     assert got[2].n_tokens_before == 0
+    assert token_counts.recount(df.limit(0)).count() == 0
+
+
+def test_counts_of_whole_documents(spark, tmp_path):
+    rows = [(1, "Some words, and <|endoftext|> 12 ½ 日本.\n" * 30, 3), (1, None, 3), (2, "", 4), (None, "x" * 300_000, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, edits int").write.parquet(str(tmp_path / "documents.parquet"))
+    c = token_counts.counter(token_counts.default_path())
+    full = lambda t: len(c.tokenizer.encode(t, add_special_tokens=False).ids)
+    want = []
+    for doc, text, _ in rows:
+        text = text or ""
+        n, edited = len(text), text
+        for start, deleted, inserted in ((n // 3, 7, ""), (n // 2, 0, " [edited] "), (n * 2 // 3, 5, "changed")):
+            start = min(start, len(edited))
+            edited = edited[:start] + inserted + edited[start + deleted :]
+        want.append((doc or 0, full(text), full(edited), len(c.split.findall(edited)), token_counts.sha256(edited)))
+    got = token_counts.op8_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens_before, r.n_tokens, r.n_pretokens, r.text_sha256) for r in got) == sorted(want)
