@@ -233,76 +233,6 @@ def test_redaction(spark, ratios):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a [secret] b [secret] é [secret]", 2: "clean", 3: None}
 
 
-def test_licences(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this.\nThe above copyright notice and this permission notice shall be included in all copies.\n"
-    rows = {
-        1: "Some text.\nLicensed under CC BY-NC 4.0.",
-        2: "Released under the MIT License.",
-        3: mit,
-        4: "This work is licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0.",
-        5: "nothing here as is",
-        6: "A license of another kind.",
-        7: None,
-        8: "Copyright 2020 X. All rights reserved.",
-    }
-    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {r.doc_id: r.licences for r in licenses.recognise(df).collect()}
-    assert got == {1: ["CC-BY-NC"], 2: ["MIT"], 3: ["MIT"], 4: ["Apache-2.0", "GPL-3.0"], 5: [], 6: ["UNMATCHED"], 7: [], 8: ["Proprietary"]}
-
-
-BSD = """Copyright (c) 2020, Foo
-All rights reserved.
-
-Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice,
-   this list of conditions and the following disclaimer in the documentation
-   and/or other materials provided with the distribution.
-"""
-ENDORSE = """
-3. Neither the name of FOO nor the names of its contributors may be used to
-   endorse or promote products derived from this software without specific
-   prior written permission.
-"""
-BSD_WARRANTY = """
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
-AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
-IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.
-"""
-GPL = """ * This program is free software: you can redistribute it and/or modify
- * it under the terms of the GNU General Public License as published by
- * the Free Software Foundation, either version 3 of the License, or
- * (at your option) any later version.
- *
- * This program is distributed in the hope that it will be useful,
- * but WITHOUT ANY WARRANTY; without even the implied warranty of
- * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
-"""
-
-
-def test_wrapped_licences(spark):
-    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
-    rows = {
-        1: (BSD + ENDORSE + BSD_WARRANTY, ["copyright", "reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]),
-        2: (BSD + BSD_WARRANTY, ["copyright", "reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
-        3: (isc, ["isc-permission"]),
-        4: ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy is missing, get one.", ["mpl2-grant"]),
-        5: ("This is subject to the terms of the Mozilla Public License, v. 2.0.", ["mpl2-grant"]),
-        6: ("Licensed under CC BY\nNC 4.0\n", ["cc-by-nc"]),
-        7: ("SPDX-License-Identifier: MIT\nCopyright 2020 X\nsome other license", ["spdx-mit", "copyright", "UNKNOWN"]),
-    }
-    df = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()] + [(8, GPL)], "doc_id long, text string")
-    got = {r.doc_id: r for r in licenses.recognise(df).collect()}
-    assert {i: got[i].sentence_ids for i in rows} == {i: ids for i, (_, ids) in rows.items()}
-    assert got[1].licences == ["BSD-3-Clause", "Proprietary"] and got[2].licences == ["BSD-2-Clause", "Proprietary"]
-    assert [got[i].licences for i in (3, 4, 5, 6)] == [["ISC"], ["MPL-2.0"], ["MPL-2.0"], ["CC-BY-NC"]]
-    assert got[8].sentence_ids[:2] == ["gpl-modify", "gpl-hope"] and "GPL" in got[8].licences
-
-
 def test_edited_counts_equal_a_full_count():
     r = random.Random(7)
     c = token_counts.counter(token_counts.default_path())
