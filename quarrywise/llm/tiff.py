@@ -7,8 +7,8 @@ gives a row with an error in place of pixels; the others of its file stand.  Wha
 longer than the page says, whatever the file holds.
 
 The query stores each text as 8-bit grey pages 576 wide, of at most PAGE_ROWS rows: in tiles if there are TILE rows,
-else in strips; deflated, by LZW (both with predictor 2) or by PackBits as the checksum of its bytes says, so
-equal texts are stored alike.  It reads the file back and describes what it read.
+else in strips; deflated with predictor 2, by LZW or by PackBits as the checksum of its bytes says, so equal texts
+are stored alike.  It reads the file back and describes what it read.
 
 A null medium gives no pages; a null text is stored as an empty one; a very long text has more pages.  Repeated rows
 are handled each.  An empty table gives no rows.  Extra columns, whatever their names, are not read.
@@ -103,87 +103,88 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw_widths(first: int, n: int) -> np.ndarray:
+    """Bits of the codes first to first + n - 1 after a clear code: 9 to 12, growing one code early."""
+    known = 258 + np.maximum(np.arange(first, first + n) - 1, 0)
+    return 9 + (known >= 511) + (known >= 1023) + (known >= 2047)
+
+
+def _lzw_codes(data: bytes) -> Iterator[tuple[bool, list[int]]]:
+    """The codes of a stream by runs, each with whether a clear code stands before it."""
+    raw = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
+    at, since, clear = 0, 0, False
+    while at + 9 <= 8 * len(data):
+        width = _lzw_widths(since, min(4096, (8 * len(data) - at) // 9))
+        end = at + np.cumsum(width)
+        width, end = width[end <= 8 * len(data)], end[end <= 8 * len(data)]
+        if not len(width):
+            return
+        start = end - width
+        byte = start >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (start & 7) - width) & ((1 << width) - 1)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else len(codes)
+        yield clear, codes[:n].tolist()
+        if n == len(codes):
+            at, since, clear = int(end[-1]), since + n, False
+        elif codes[n] == 257:
+            return
+        else:
+            at, since, clear = int(end[n]), 0, True
+
+
 def lzw_decode(data: bytes, size: int | None = None) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; the width grows one code early.  Ends with size bytes."""
+    """Codes of 9 to 12 bits, most significant bit first.  Ends with size bytes."""
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
     table: list[bytes] = []
-    out, length, width, have, bits, previous = [], 0, 9, 0, 0, b""
-    for byte in data:
-        bits = (bits << 8 | byte) & 0xFFFFFF
-        have += 8
-        if have < width:
-            continue
-        have -= width
-        code = bits >> have & ((1 << width) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table = [bytes([i]) for i in range(256)] + [b"", b""]
-            width, previous = 9, b""
-            continue
-        if not table:
+    out, length, previous = [], 0, b""
+    for clear, codes in _lzw_codes(data):
+        if clear:
+            table, previous = single.copy(), b""
+        if codes and not table:
             raise TiffError("LZW data without a clear code")
-        if not previous:
-            entry = table[code] if code < 256 else None
-        elif code < len(table):
-            entry = table[code]
-        elif code == len(table):
-            entry = previous + previous[:1]
-        else:
-            entry = None
-        if entry is None:
-            raise TiffError("LZW code out of range")
-        if previous and len(table) < 4096:
-            table.append(previous + entry[:1])
-        out.append(entry)
-        length += len(entry)
-        if size is not None and length >= size:
-            break
-        previous = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
+        for code in codes:
+            if code < len(table) and (previous or code < 256):
+                entry = table[code]
+            elif code == len(table) and previous:
+                entry = previous + previous[:1]
+            else:
+                raise TiffError("LZW code out of range")
+            if previous and len(table) < 4096:
+                table.append(previous + entry[:1])
+            out.append(entry)
+            length += len(entry)
+            previous = entry
+            if size is not None and length >= size:
+                return b"".join(out)[:size]
     return b"".join(out)[:size]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    table: dict[bytes, int] = {}
-    out, bits, have, width, prefix = bytearray(), 0, 0, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(bits >> have & 255)
-        bits &= (1 << have) - 1
-
-    def clear() -> None:
-        nonlocal table, width
-        put(256)
-        table, width = {bytes([i]): i for i in range(256)}, 9
-
-    clear()
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
+    codes, table, new = [256], {}, 258
+    put, known, prefix = codes.append, table.get, data[0] if data else -1
+    for byte in data[1:]:
+        key = prefix << 8 | byte
+        code = known(key)
+        if code is not None:
+            prefix = code
             continue
-        put(table[prefix])
-        table[longer] = len(table) + 2
-        prefix = longer[-1:]
-        if len(table) + 2 >= 4094:
-            put(table[prefix])
-            clear()
-            prefix = b""
-        elif len(table) + 2 > (1 << width) - 1:
-            width += 1
-    if prefix:
-        put(table[prefix])
-        if len(table) + 3 > (1 << width) - 1 and width < 12:
-            width += 1
+        put(prefix)
+        table[key] = new
+        new += 1
+        prefix = byte
+        if new == 4094:
+            put(256)
+            table.clear()
+            new = 258
+    if data:
+        put(prefix)
     put(257)
-    if have:
-        out.append(bits << (8 - have) & 255)
-    return bytes(out)
+    code = np.array(codes)
+    clear = np.flatnonzero(code == 256)
+    width = np.concatenate([[9], *(_lzw_widths(0, n) for n in np.diff(np.append(clear, len(code) - 1)))])
+    bits = (code[:, None] >> np.arange(11, -1, -1)) & 1
+    return np.packbits(bits[np.arange(11, -1, -1) < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def _unpack(data: bytes, compression: int, size: int) -> bytes:
@@ -409,7 +410,7 @@ def store(data: bytes) -> bytes:
     grid = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     parts = [grid[i : i + PAGE_ROWS] for i in range(0, len(grid), PAGE_ROWS)]
     compression = (DEFLATE, LZW, PACKBITS)[zlib.crc32(data) % 3]
-    return write(parts, compression, 1 if compression == PACKBITS else 2, tile=TILE if len(grid) >= TILE[1] else None)
+    return write(parts, compression, 2 if compression == DEFLATE else 1, tile=TILE if len(grid) >= TILE[1] else None)
 
 
 def feature(found: list[Page]) -> str:
