@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import pairwise
 
 PAGE_CHARS = 7000
 TARGET, LEAST, MOST = 1800, 500, 3500
@@ -14,23 +16,33 @@ def normalize(text: str) -> str:
     return re.sub(r"\n{4,}", "\n\n\n", text).strip()
 
 
+class Breaks:
+    """Where a text may be cut: before any of some separators, the preferred one first."""
+
+    def __init__(self, text: str, separators: tuple[str, ...]):
+        self.places = [([m.start() for m in re.finditer(f"(?={re.escape(s)})", text)], len(s)) for s in separators]
+
+    def last(self, low: int, high: int) -> int | None:
+        """The last separator of the best kind that lies within [low, high)."""
+        for places, size in self.places:
+            i = bisect_right(places, high - size) - 1
+            if i >= 0 and places[i] >= low:
+                return places[i]
+        return None
+
+
 def pages(text: str, most: int = PAGE_CHARS) -> list[str]:
     """Pages at form feeds if there are any, else of at most ``most`` characters, cut at the last blank line or line end of a page's second half."""
-    if not text:
-        return [""]
     if "\f" in text:
-        return [p for p in map(normalize, text.split("\f")) if p]
+        return list(filter(None, map(normalize, text.split("\f"))))
     if len(text) <= most:
         return [text]
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + most)
-        if end < len(text):
-            cuts = (text.rfind(sep, at + most // 2, end) for sep in ("\n\n", "\n"))
-            end = next((c for c in cuts if c >= 0), end)
-        out.append(text[at:end].strip())
-        at = end
-    return [p for p in out if p]
+    breaks, cuts = Breaks(text, ("\n\n", "\n")), [0]
+    while len(text) - cuts[-1] > most:
+        cut = breaks.last(cuts[-1] + most // 2, cuts[-1] + most)
+        cuts.append(cuts[-1] + most if cut is None else cut)
+    parts = (text[a:b].strip() for a, b in pairwise([*cuts, len(text)]))
+    return [p for p in parts if p]
 
 
 def canonical(raw: list[str]) -> tuple[str, list[tuple[int, int]]]:
@@ -51,14 +63,9 @@ def trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 def chunks(text: str, start: int, end: int, target: int = TARGET, least: int = LEAST, most: int = MOST) -> list[tuple[int, int]]:
     """Ranges of chunks of one page: each but the last ends at the last blank line, line end or blank between ``least`` and ``most``, else at ``target``."""
-    out = []
-    while start < end:
-        stop = end
-        if start + target < end:
-            low, high = min(end, start + least), min(end, start + most)
-            stop = next((at for sep in ("\n\n", "\n", " ") if (at := text.rfind(sep, low, high)) > start), start + target)
-        s, e = trim(text, start, stop)
-        if e > s:
-            out.append((s, e))
-        start = stop
-    return out
+    breaks, cuts = Breaks(text, ("\n\n", "\n", " ")), [start]
+    while end - cuts[-1] > target:
+        cut = breaks.last(min(end, cuts[-1] + least), min(end, cuts[-1] + most))
+        cuts.append(cuts[-1] + target if cut is None else cut)
+    ranges = (trim(text, a, b) for a, b in pairwise([*cuts, end]))
+    return [(a, b) for a, b in ranges if a < b]

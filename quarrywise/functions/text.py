@@ -20,9 +20,13 @@ SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 LONGEST_WORD = 40
 
 
+#: WORD without the quotes, underscores and hyphens that would be dropped at its end.
+_TRIMMED = r"[a-z][a-z0-9_'-]*[a-z0-9]|\$?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
+
+
 def tokens(text: Column, keep_stopwords: bool = False) -> Column:
     """Lower-cased words of 2 to 40 characters, outer quotes, underscores and hyphens dropped, without stopwords."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda x: F.btrim(x, F.lit("'_-")))
+    words = F.regexp_extract_all(F.lower(text), F.lit(_TRIMMED), F.lit(0))
 
     def kept(x: Column) -> Column:
         fits = F.length(x).between(2, LONGEST_WORD)
@@ -140,6 +144,35 @@ def doc_type(path: Column) -> Column:
     return out
 
 
+def fingerprint(text: Column, words: int = 30) -> Column:
+    """The first words of a text, by which excerpts that say the same are told."""
+    return F.concat_ws(" ", F.slice(tokens(text), 1, words))
+
+
+def window_range(text: Column, low: Column, high: Column, before: int, after: int, most: int) -> Column:
+    """struct(start, end): a range with its context, at most ``most`` characters; where that is too much the range is put in the middle."""
+    n = F.length(text)
+    start, end = F.greatest(F.lit(0), low - before), F.least(n, high + after)
+    middle = F.greatest(F.lit(0), low - F.floor(F.greatest(F.lit(0), most - (high - low)) / 2))
+    wide = end - start > most
+    s = F.when(wide, middle).otherwise(start)
+    e = F.when(wide, F.least(n, middle + most)).otherwise(end)
+    return trim_range(text, F.when(high > e, F.greatest(F.lit(0), high - most)).otherwise(s), F.greatest(e, high))
+
+
+def page_signals(text: Column, has_table: Column, types: Column, top_terms: Column, most: int = 5) -> Column:
+    """What a page seems to hold; types are those of its mentions."""
+    low = F.lower(text)
+    said = [
+        F.when(has_table, F.lit("possible table")),
+        F.when(F.array_contains(types, "money"), F.lit("money amounts")),
+        F.when(F.array_contains(types, "email"), F.lit("email addresses")),
+        F.when(F.contains(low, F.lit("subject:")) & F.contains(low, F.lit("from:")), F.lit("email header")),
+        F.when(F.size(top_terms) > 0, F.concat(F.lit("top terms: "), F.array_join(F.slice(top_terms, 1, 3), " / "))),
+    ]
+    return F.slice(F.array_compact(F.array(*said)), 1, most)
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 

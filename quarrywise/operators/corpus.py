@@ -19,14 +19,21 @@ def duplicate_groups(documents: DataFrame, text: Column) -> DataFrame:
     return hashed.join(groups, "text_hash")
 
 
-def relationships(documents: DataFrame, key: Column, relation: str, of: Column | None = None) -> DataFrame:
-    """(doc_id, relation, target_doc_id, confidence) between all members of each group with the same key.
+def stars(documents: DataFrame, key: Column, relation: str, of: Column | None = None) -> DataFrame:
+    """(group_key, relation, doc_id, first_doc, members): documents with the same key, as a star round the first.
 
-    The output itself is every ordered pair; for large groups use duplicate_groups instead.
+    A row for each document, however large its group; related() gives one document's partners.
     """
     keyed = documents.select("doc_id", key.alias("k")).filter((F.col("k").isNotNull()) & (of if of is not None else F.lit(True)))
-    other = keyed.select(F.col("doc_id").alias("target_doc_id"), "k")
-    return keyed.join(other, "k").filter("doc_id <> target_doc_id").select("doc_id", F.lit(relation).alias("relation"), "target_doc_id", F.lit(1.0).alias("confidence"))
+    groups = keyed.groupBy("k").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("members")).filter("members > 1")
+    return keyed.join(groups, "k").select(F.col("k").alias("group_key"), F.lit(relation).alias("relation"), "doc_id", "first_doc", "members")
+
+
+def related(stars_: DataFrame, doc_id, most: int = 50) -> DataFrame:
+    """(doc_id, relation, target_doc_id, confidence): the first partners of one document."""
+    mine = stars_.filter(F.col("doc_id") == doc_id).select("group_key", "relation", F.col("doc_id").alias("own"))
+    found = stars_.join(F.broadcast(mine), ["group_key", "relation"]).filter("doc_id <> own")
+    return found.select(F.col("own").alias("doc_id"), "relation", F.col("doc_id").alias("target_doc_id"), F.lit(1.0).alias("confidence")).orderBy("target_doc_id", "relation").limit(most)
 
 
 def facets(documents: DataFrame, entities: DataFrame | None = None, limit: int = 10) -> DataFrame:
@@ -40,6 +47,13 @@ def facets(documents: DataFrame, entities: DataFrame | None = None, limit: int =
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("rank")
 
 
+def entity_summary(entities: DataFrame, members: DataFrame, group: str, limit: int = 10) -> DataFrame:
+    """(group, rank, text, type, n): the most frequent mentions of each group's documents."""
+    counts = entities.select("doc_id", "text", "type").join(members.select(group, "doc_id"), "doc_id").groupBy(group, "text", "type").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(group).orderBy(F.desc("n"), "text", "type")
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(group, "rank", "text", "type", "n")
+
+
 def quality(documents: DataFrame, duplicated: DataFrame) -> DataFrame:
     """One row: shares of documents with text, read by OCR, of low confidence, with a duplicate; mean confidence; languages."""
     df = documents.join(duplicated.select("doc_id").distinct().withColumn("dup", F.lit(1)), "doc_id", "left")

@@ -7,11 +7,16 @@ import math
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF = 60
+#: Rows from which vectors are dealt into cells, the sample their centres are fitted on, and cells that a search looks at.
+ANN_ROWS = 4096
+SAMPLE = 20_000
+PROBES = 8
 
 
 class Embedder(Protocol):
@@ -68,6 +73,47 @@ def nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: in
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))
 
 
+def train_cells(vectors: DataFrame, key: str, column: str, sample: int = SAMPLE, rounds: int = 10) -> list[list[float]]:
+    """Centres of about the root of the number of rows, 1,024 at most, by spherical k-means on a sample taken by the hash of key."""
+    n = vectors.count()
+    rows = vectors.filter(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(column).collect()
+    x = np.array([r[0] for r in rows], float)
+    x = x[np.linalg.norm(x, axis=1) > 0] if len(x) else x
+    if not len(x):
+        return []
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = x[np.linspace(0, len(x) - 1, min(len(x), 1024, max(1, round(n**0.5)))).astype(int)]
+    for _ in range(rounds):
+        cell = (x @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(norm > 0, total / np.maximum(norm, 1e-12), centres)
+    return centres.tolist()
+
+
+def with_cells(vectors: DataFrame, column: str, centres: list[list[float]]) -> DataFrame:
+    """vectors with a column ``cell``: the nearest centre; all of one cell without centres."""
+    if not centres:
+        return vectors.withColumn("cell", F.lit(0))
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array(centres))
+
+    def nearest_cell(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            x = np.array([np.zeros(shared.value.shape[1]) if v is None else v for v in part], float)
+            yield pd.Series((x @ shared.value.T).argmax(1) if len(x) else [], dtype="int32")
+
+    return vectors.withColumn("cell", F.pandas_udf(nearest_cell, "int")(column))
+
+
+def probed(vectors: DataFrame, centres: list[list[float]], query: list[float], probes: int = PROBES) -> DataFrame:
+    """The vectors in the cells nearest to a query; all without centres."""
+    if not centres or probes >= len(centres):
+        return vectors
+    near = np.argsort(-(np.array(centres) @ np.array(query)), kind="stable")[:probes]
+    return vectors.filter(F.col("cell").isin([int(c) for c in near]))
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, key: str, limit: int) -> DataFrame:
     """(rank, key, score): ranked lists joined by the sum of 1 / (60 + rank)."""
     both = keyword.select(key, F.col("rank").alias("a")).join(vector.select(key, F.col("rank").alias("b")), key, "full_outer")

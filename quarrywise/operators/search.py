@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrywise.functions import text as T
+from quarrywise.sources.tables import materialize
 
 K1, B = 1.5, 0.75
 MOST_RESULTS = 50
@@ -25,20 +26,19 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if 2 <= len(w) <= T.LONGEST_WORD and w not in stop))
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == term))
-
-
 def bm25(searchable: DataFrame, terms: list[str]) -> DataFrame:
-    """(unit, doc, score) of the units that hold a term.  One scan; N, df and mean length come from a one-row aggregate.
+    """(unit, doc, score) of the units that hold a term.
 
-    searchable is already restricted to the scope.  Only matching units' few counts leave the scan.
+    searchable is already restricted to the scope.  Texts are looked at once: each unit's length and counts, a few
+    numbers, are written, and N, df and mean length are a one-row aggregate of those.
     """
     terms = list(dict.fromkeys(terms))
     if not terms:
         return searchable.select("unit", "doc", F.lit(0.0).alias("score")).limit(0)
-    counts = [_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = searchable.select("unit", "doc", F.greatest(F.size("words"), F.lit(1)).alias("dl"), *counts)
+    found = searchable.select("unit", "doc", F.greatest(F.size("words"), F.lit(1)).alias("dl"), F.filter("words", lambda w: w.isin(terms)).alias("found"))
+    equal = lambda t: lambda w: w == t
+    counts = [F.size(F.filter("found", equal(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = materialize(found.select("unit", "doc", "dl", *counts), "counted")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     hits = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -55,9 +55,17 @@ def postings(searchable: DataFrame) -> DataFrame:
     return terms.groupBy("term", "unit", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
+def lengths(searchable: DataFrame) -> DataFrame:
+    """(unit, doc, dl) of all units."""
+    return searchable.select("unit", "doc", F.greatest(F.size("words"), F.lit(1)).alias("dl"))
+
+
 def bm25_postings(index: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
     """bm25() from postings and the scope's (unit, dl): both already restricted to the scope."""
-    found = index.filter(F.col("term").isin(list(dict.fromkeys(terms))))
+    terms = list(dict.fromkeys(terms))
+    if not terms:
+        return index.select("unit", "doc", F.lit(0.0).alias("score")).limit(0)
+    found = index.filter(F.col("term").isin(terms))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term of the query
     rows = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
@@ -67,9 +75,10 @@ def bm25_postings(index: DataFrame, lengths: DataFrame, terms: list[str]) -> Dat
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:
-    """(rank, unit, doc, score) of the best, scores at 4 places, ties by unit."""
-    best = scored.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "unit").limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "unit")))
+    """(rank, unit, doc, score) of the best by their whole scores, ties by unit; scores are given at 4 places."""
+    best = scored.orderBy(F.desc("score"), "unit").limit(limit)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "unit")))
+    return ranked.withColumn("score", F.round("score", 4))
 
 
 def diversify(ranked: DataFrame, source: str, free: int = 3) -> DataFrame:
@@ -93,7 +102,7 @@ def top_diversified(scored: DataFrame, sources: DataFrame, source: str, limit: i
     sources has one row (doc, source) for each document.
     """
     order = [F.desc("score"), F.asc("unit")]
-    rows = scored.withColumn("score", F.round("score", 4))
+    rows = scored
     best = F.min(F.struct((-F.col("score")).alias("low"), "unit", "doc")).alias("b")
     unpacked = [F.col("b.unit").alias("unit"), F.col("b.doc").alias("doc"), (-F.col("b.low")).alias("score")]
     firsts = rows.groupBy("doc").agg(best).select(*unpacked).join(sources.select("doc", source), "doc")
@@ -104,6 +113,7 @@ def top_diversified(scored: DataFrame, sources: DataFrame, source: str, limit: i
     rest = rows.select(*of_source.columns).join(chosen.select("unit"), "unit", "left_anti").orderBy(*order).limit(limit)
     both = chosen.withColumn("__k", F.lit(0)).unionByName(rest.withColumn("__k", F.lit(1)).select(*of_source.columns, "__k"))
     both = both.withColumn("rank", F.row_number().over(Window.orderBy("__k", *order))).drop("__k").filter(F.col("rank") <= limit)
+    both = both.withColumn("score", F.round("score", 4))
     return both.join(sources.select("doc", source), "doc")
 
 

@@ -26,10 +26,17 @@ def top_terms(counts: DataFrame, key: str, limit: int = 8) -> DataFrame:
     return counts.filter(F.length("term") >= 3).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(key, "rank", "term", "n")
 
 
-def idf(counts: DataFrame, documents: DataFrame) -> DataFrame:
-    """(term, df, idf): ln((1 + N) / (1 + df)) + 1."""
+def document_frequencies(units: DataFrame, text: Column, pairs: bool = True) -> DataFrame:
+    """(term, df): in how many units each term occurs; one shuffle, of partial counts by term."""
+    words = units.select(T.tokens(text).alias("words"))
+    terms = T.lexical_terms(F.col("words")) if pairs else F.col("words")
+    return words.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf(frequencies: DataFrame, documents: DataFrame) -> DataFrame:
+    """(term, df, idf): ln((1 + N) / (1 + df)) + 1, of document_frequencies() or of counts with a row for each unit's term."""
     total = documents.agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    df = frequencies if "df" in frequencies.columns else frequencies.groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 

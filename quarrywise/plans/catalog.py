@@ -15,7 +15,7 @@ from quarrywise.functions import split as S
 from quarrywise.functions import text as T
 from quarrywise.operators import corpus, hybrid, search, terms, topics
 from quarrywise.sources import extract
-from quarrywise.sources.tables import materialize, table
+from quarrywise.sources.tables import materialize, spread, table
 
 QUERY = "thanedble onble retion"
 TERMS = search.query_terms(QUERY)
@@ -25,7 +25,7 @@ def _text() -> Column:
 
 
 def docs(spark, d: str) -> DataFrame:
-    df = table(spark, d, "documents")
+    df = spread(table(spark, d, "documents").drop("n_chars"))
     return df.select("doc_id", _text().alias("text"), F.col("source").alias("source_batch"), F.col("lang").alias("language"), F.lit("text").alias("doc_type"), F.lit("text").alias("extraction_method"))
 
 
@@ -59,8 +59,9 @@ def _bm25_sql(words: str, unit: str = "doc_id") -> str:
 stats AS (SELECT count(*) AS n, avg(greatest(len(w), 1)) AS avgdl FROM units),
 tf AS (SELECT unit, doc_id, greatest(len(w), 1) AS dl, t AS term, len(list_filter(w, lambda x: x = t)) AS tf FROM units, (SELECT unnest({q}) AS t)),
 df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term),
-scored AS (SELECT unit, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
-  FROM tf JOIN df USING (term), stats WHERE tf > 0 GROUP BY ALL)"""
+scored AS (SELECT unit, doc_id, round(x, 4) AS score, round(x, 9) AS raw FROM (
+  SELECT unit, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS x
+  FROM tf JOIN df USING (term), stats WHERE tf > 0 GROUP BY ALL))"""
 
 
 _CHUNK_SQL = """canon AS (SELECT doc_id, text, len(text) AS n FROM docs),
@@ -94,9 +95,10 @@ def tokenize_counts(spark, d):
     return docs(spark, d).select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
 
 
-@query(f"WITH {_LEX} SELECT doc_id, term, CAST(n AS BIGINT) AS n FROM counts WHERE contains(term, ' ') AND n > 1")
+@query(f"WITH {_LEX} SELECT doc_id, term, CAST(n AS BIGINT) AS n FROM counts")
 def lexical_bigrams(spark, d):
-    return terms.term_counts(docs(spark, d), "doc_id", F.col("text")).filter(F.col("term").contains(" ") & (F.col("n") > 1)).select("doc_id", "term", "n")
+    """Words and pairs of neighbours of every document."""
+    return terms.term_counts(docs(spark, d), "doc_id", F.col("text")).select("doc_id", "term", "n")
 
 
 @query(f"WITH {_LEX} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS INTEGER) AS rank, term, CAST(n AS BIGINT) AS n FROM counts WHERE len(term) >= 3 QUALIFY rank <= 8")
@@ -174,7 +176,25 @@ def page_table(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, page_number int, start bigint, end bigint")
 
 
-@query()
+_PAGES = """cutp AS (
+  SELECT doc_id, text, 0 AS s, CASE WHEN len(text) <= 7000 THEN len(text) END AS e FROM docs WHERE NOT contains(text, chr(12))
+  UNION ALL
+  SELECT doc_id, text, e2, CASE WHEN e2 + 7000 >= len(text) THEN len(text) END FROM (
+    SELECT *, coalesce(e, CASE WHEN p2 > 0 THEN s + 3500 + len(seg) - p2 - 1 WHEN p1 > 0 THEN s + 3500 + len(seg) - p1 ELSE s + 7000 END) AS e2 FROM (
+      SELECT *, instr(reverse(seg), chr(10) || chr(10)) AS p2, instr(reverse(seg), chr(10)) AS p1 FROM (SELECT *, substr(text, s + 3501, 3500) AS seg FROM cutp)))
+  WHERE e2 < len(text)),
+ends AS (SELECT doc_id, s, coalesce(e, lead(s) OVER (PARTITION BY doc_id ORDER BY s)) AS e, text FROM cutp),
+parts AS (
+  SELECT doc_id, s AS k, trim(substr(text, s + 1, e - s), chr(32) || chr(10) || chr(9)) AS page FROM ends
+  UNION ALL
+  SELECT doc_id, k, trim(regexp_replace(regexp_replace(p, '[ \\t\\x0B]+', ' ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9))
+  FROM (SELECT doc_id, unnest(string_split(text, chr(12))) AS p, generate_subscripts(string_split(text, chr(12)), 1) AS k FROM docs WHERE contains(text, chr(12)))),
+full_pages AS (SELECT doc_id, k, page FROM parts WHERE page <> '' UNION ALL SELECT doc_id, 0, '' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM parts WHERE page <> '')),
+pages AS (SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS page_number, CAST(sum(len(page) + 3) OVER w - len(page) - 3 AS BIGINT) AS "start", CAST(sum(len(page) + 3) OVER w - 3 AS BIGINT) AS "end"
+  FROM full_pages WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
+
+
+@query(f"WITH RECURSIVE {_PRE}, {_PAGES} SELECT * FROM pages")
 def page_split(spark, d):
     return page_table(docs(spark, d))
 
@@ -191,19 +211,20 @@ def page_offsets(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (end - n).alias("start"), end.alias("end"))
 
 
-def chunk_table(df: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of chunks of each text as one page."""
+def chunk_table(df: DataFrame, with_text: bool = False) -> DataFrame:
+    """(doc_id, start, end[, text]) of chunks of each text as one page."""
     kind = df.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "start", "end", "text"][: 3 + with_text]
 
     def run(parts):
         for pdf in parts:
-            yield pd.DataFrame([(doc, *r) for doc, text in zip(pdf["doc_id"], pdf["text"]) for r in S.chunks(text, 0, len(text))], columns=["doc_id", "start", "end"])
+            yield pd.DataFrame([(doc, a, b, text[a:b])[: len(columns)] for doc, text in zip(pdf["doc_id"], pdf["text"]) for a, b in S.chunks(text, 0, len(text))], columns=columns)
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start bigint, end bigint")
+    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start bigint, end bigint" + ", text string" * with_text)
 
 
-_CHUNKS = _PRE + ", " + _CHUNK_SQL + """, raw AS (SELECT doc_id, s, coalesce(e, lead(s) OVER (PARTITION BY doc_id ORDER BY s)) AS e, text FROM cut),
-part AS (SELECT doc_id, s, e, substr(text, s + 1, e - s) AS part FROM raw),
+_CHUNKS = _PRE + ", " + _CHUNK_SQL + """, bounds AS (SELECT doc_id, s, coalesce(e, lead(s) OVER (PARTITION BY doc_id ORDER BY s)) AS e, text FROM cut),
+part AS (SELECT doc_id, s, e, substr(text, s + 1, e - s) AS part FROM bounds),
 chunks AS (SELECT doc_id, s + len(part) - len(ltrim(part, chr(10) || ' ')) AS "start", e - (len(part) - len(rtrim(part, chr(10) || ' '))) AS "end", trim(part, chr(10) || ' ') AS text FROM part WHERE trim(part, chr(10) || ' ') <> '')"""
 
 
@@ -229,13 +250,22 @@ def entity_mentions(spark, d):
     return mention_table(docs(spark, d))
 
 
-def _pattern_sql(pattern: str) -> str:
+_TAIL = "' Invoice #A-' || doc_id || ' and P.O. B' || doc_id || ' for $ ' || doc_id || ',200.50, case closed.'"
+
+
+def _with_tail() -> Column:
+    """The texts, with the money amounts and case numbers that they lack."""
+    n = F.col("doc_id")
+    return F.concat("text", F.lit(" Invoice #A-"), n, F.lit(" and P.O. B"), n, F.lit(" for $ "), n, F.lit(",200.50, case closed."))
+
+
+def _pattern_sql(pattern: str, text: str = "coalesce(text, '')") -> str:
     p = pattern.replace("'", "''")
-    return f"SELECT doc_id, m AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{p}')) AS m FROM documents) GROUP BY ALL"
+    return f"SELECT doc_id, m AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({text}, '{p}')) AS m FROM documents) GROUP BY ALL"
 
 
-def _pattern(spark, d, pattern: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))).alias("mention")
+def _pattern(spark, d, pattern: str, text: Column | None = None) -> DataFrame:
+    found = F.explode(F.regexp_extract_all(F.col("text") if text is None else text, F.lit(pattern), F.lit(0))).alias("mention")
     return docs(spark, d).select("doc_id", found).groupBy("doc_id", "mention").agg(F.count("*").alias("n"))
 
 
@@ -249,27 +279,57 @@ def phone_mentions(spark, d):
     return _pattern(spark, d, E.PHONE)
 
 
-@query(_pattern_sql(E.MONEY))
+@query(_pattern_sql(E.MONEY, f"coalesce(text, '') || {_TAIL}"))
 def money_mentions(spark, d):
-    return _pattern(spark, d, E.MONEY)
+    return _pattern(spark, d, E.MONEY, _with_tail())
 
 
-@query(_pattern_sql("(?i)" + E.CASE))
+@query(_pattern_sql("(?i)" + E.CASE, f"coalesce(text, '') || {_TAIL}"))
 def case_mentions(spark, d):
-    return _pattern(spark, d, "(?i)" + E.CASE)
+    return _pattern(spark, d, "(?i)" + E.CASE, _with_tail())
 
 
-@query(
-    f"""WITH RECURSIVE {_CHUNKS}, m AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '(?i){E.EMAIL}'))) AS mail FROM docs)
-SELECT c.doc_id, CAST(c."start" AS BIGINT) AS "start", mail, CAST(instr(m.text, mail) - 1 AS BIGINT) AS "at" FROM m JOIN chunks c ON c.doc_id = m.doc_id AND instr(m.text, mail) - 1 >= c."start" AND instr(m.text, mail) - 1 < c."end" """
-)
+_MAILS = f"""found AS (SELECT doc_id, regexp_extract_all(text, '(?i){E.EMAIL}') AS m, regexp_split_to_array(text, '(?i){E.EMAIL}') AS b FROM docs),
+mails AS (SELECT doc_id, m[i] AS mail, coalesce(list_sum(list_transform(b[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS "at"
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0))"""
+
+
+def mails(spark, d) -> DataFrame:
+    """The e-mail addresses of the mention table."""
+    return mention_table(docs(spark, d)).filter("type = 'email'")
+
+
+@query(f'WITH RECURSIVE {_CHUNKS}, {_MAILS} SELECT c.doc_id, CAST(c."start" AS BIGINT) AS "start", mail, CAST("at" AS BIGINT) AS "at" FROM mails m JOIN chunks c ON c.doc_id = m.doc_id AND "at" >= c."start" AND "at" < c."end"')
 def chunk_entity_join(spark, d):
-    """First occurrences of e-mail addresses, joined to the chunk that holds them."""
+    """Every e-mail address, joined to the chunk that holds it."""
+    found = mails(spark, d).select("doc_id", F.col("text").alias("mail"), F.col("start").alias("at"))
+    return chunk_table(docs(spark, d)).join(found, "doc_id").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("doc_id", "start", "mail", "at")
+
+
+@query(f"""WITH {_PRE}, {_MAILS}, n AS (SELECT source_batch, mail AS text, 'email' AS type, CAST(count(*) AS BIGINT) AS n FROM mails JOIN docs USING (doc_id) GROUP BY ALL)
+SELECT source_batch, CAST(row_number() OVER w AS INTEGER) AS rank, text, type, n FROM n WINDOW w AS (PARTITION BY source_batch ORDER BY n DESC, text) QUALIFY rank <= 10""")
+def source_entities(spark, d):
+    """The most frequent e-mail addresses of each source."""
+    return corpus.entity_summary(mails(spark, d), docs(spark, d).select("source_batch", "doc_id"), "source_batch")
+
+
+def _signals_sql() -> str:
+    tabular = "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND (contains(x, chr(9)) OR len(x) - len(replace(x, '|', '')) >= 2 OR len(x) - len(replace(x, ',', '')) >= 4))) >= 2"
+    return f"""tops AS (SELECT doc_id, string_agg(term, ' / ' ORDER BY n DESC, first) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM counts WHERE len(term) >= 3) WHERE r <= 3 GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN {tabular} THEN 'possible table' END, CASE WHEN regexp_matches(text, '{E.MONEY}') THEN 'money amounts' END,
+  CASE WHEN regexp_matches(text, '(?i){E.EMAIL}') THEN 'email addresses' END, CASE WHEN contains(lower(text), 'subject:') AND contains(lower(text), 'from:') THEN 'email header' END,
+  'top terms: ' || t], lambda x: x IS NOT NULL), ' | ') AS signals FROM docs LEFT JOIN tops USING (doc_id)"""
+
+
+@query(f"WITH {_LEX}, {_signals_sql()}")
+def page_signals(spark, d):
+    """What each document, as one page, seems to hold."""
     df = docs(spark, d)
-    mails = df.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?i)" + E.EMAIL), F.lit(0)))).alias("mail"))
-    mails = mails.select("doc_id", "mail", (F.instr("text", F.col("mail")) - 1).cast("long").alias("at"))
-    parts = chunk_table(df)
-    return parts.join(mails, "doc_id").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("doc_id", "start", "mail", "at")
+    best = terms.top_terms(terms.term_counts(df, "doc_id", F.col("text")), "doc_id", 3)
+    best = best.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top"))
+    types = F.array_compact(F.array(F.when(F.rlike("text", F.lit(E.MONEY)), "money"), F.when(F.rlike("text", F.lit("(?i)" + E.EMAIL)), "email")))
+    said = T.page_signals(F.col("text"), T.looks_tabular(F.col("text")), types, F.coalesce("top", F.array().cast("array<string>")))
+    return df.join(best, "doc_id", "left").select("doc_id", F.array_join(said, " | ").alias("signals"))
 
 
 # --- corpus ------------------------------------------------------------------------------
@@ -278,9 +338,19 @@ def duplicates_text(spark, d):
     return corpus.duplicate_groups(docs(spark, d), F.col("text"))
 
 
-@query(f"WITH {_PRE}, h AS (SELECT doc_id, md5(text) AS h FROM docs WHERE trim(text) <> '') SELECT a.doc_id, 'near_duplicate' AS relation, b.doc_id AS target_doc_id, CAST(1.0 AS DOUBLE) AS confidence FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id")
+@query(f"WITH {_PRE}, h AS (SELECT doc_id, md5(text) AS group_key FROM docs WHERE text <> ''), g AS (SELECT group_key, min(doc_id) AS first_doc, CAST(count(*) AS BIGINT) AS members FROM h GROUP BY 1 HAVING count(*) > 1) SELECT group_key, 'near_duplicate' AS relation, doc_id, first_doc, members FROM h JOIN g USING (group_key)")
 def duplicate_relationships(spark, d):
-    return corpus.relationships(docs(spark, d), F.md5("text"), "near_duplicate", F.col("k") != F.md5(F.lit("")))
+    """Groups of copies as stars: a row for each document."""
+    return corpus.stars(docs(spark, d), F.md5("text"), "near_duplicate", F.col("k") != F.md5(F.lit("")))
+
+
+@query(f"""WITH {_PRE}, h AS (SELECT doc_id, md5(text) AS h FROM docs WHERE text <> ''), big AS (SELECT min(doc_id) AS own FROM h GROUP BY h HAVING count(*) > 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT a.doc_id, 'near_duplicate' AS relation, b.doc_id AS target_doc_id, CAST(1.0 AS DOUBLE) AS confidence FROM big JOIN h a ON a.doc_id = big.own JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id ORDER BY 3 LIMIT 50""")
+def related_docs(spark, d):
+    """The first 50 copies of the first document of the largest group."""
+    found = materialize(duplicate_relationships(spark, d), "stars")
+    largest = found.orderBy(F.desc("members"), "first_doc").select("first_doc").first()
+    return corpus.related(found, largest["first_doc"] if largest else None)
 
 
 @query("SELECT source AS value, CAST(count(*) AS BIGINT) AS n FROM documents WHERE source <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -299,6 +369,13 @@ def facets(spark, d):
     return corpus.facets(docs(spark, d))
 
 
+@query(f"""WITH {_PRE} SELECT DISTINCT 'S-' || upper(substr(sha1('T.v1.' || source_batch || chr(31) || 'topic_subtree'), 1, 8)) AS scope_id, source_batch FROM docs""")
+def scope_ids(spark, d):
+    """The stored scope of each source's topic."""
+    topic = F.concat(F.lit("T.v1."), F.col("source_batch"))
+    return docs(spark, d).select(T.stable_id("S", 8, topic, F.lit("topic_subtree")).alias("scope_id"), "source_batch").distinct()
+
+
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT CAST((SELECT count(*) FROM docs) AS BIGINT) AS doc_count, CAST((SELECT count(*) FROM chunks) AS BIGINT) AS chunk_count, CAST((SELECT sum(len(text)) FROM docs) AS BIGINT) AS char_count, CAST((SELECT count(DISTINCT source_batch) FROM docs) AS BIGINT) AS source_count")
 def corpus_summary(spark, d):
     df = docs(spark, d)
@@ -331,7 +408,8 @@ def _members(spark, d) -> DataFrame:
 
 @query(f"WITH {_IDF} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 4) AS idf FROM idf")
 def idf(spark, d):
-    return terms.idf(_counts(spark, d), docs(spark, d)).withColumn("idf", F.round("idf", 4))
+    df = docs(spark, d)
+    return terms.idf(terms.document_frequencies(df, F.col("text")), df).withColumn("idf", F.round("idf", 4))
 
 
 @query(f"WITH {_VEC} SELECT doc_id, term, round(weight, 4) AS weight FROM vec")
@@ -339,10 +417,10 @@ def tfidf_vectors(spark, d):
     return _vectors(spark, d)[2].withColumn("weight", F.round("weight", 4))
 
 
-@query(f"WITH {_CEN} SELECT source_batch, term, round(weight, 4) AS weight FROM cen WHERE weight >= 0.01")
+@query(f"WITH {_CEN} SELECT source_batch, term, round(weight, 4) AS weight FROM cen")
 def source_centroids(spark, d):
     _, _, v = _vectors(spark, d)
-    return terms.centroids(v, _members(spark, d), "doc_id", "source_batch").filter("weight >= 0.01").withColumn("weight", F.round("weight", 4))
+    return terms.centroids(v, _members(spark, d), "doc_id", "source_batch").withColumn("weight", F.round("weight", 4))
 
 
 @query(f"WITH {_CEN} SELECT doc_id, source_batch, round(sum(vec.weight * cen.weight), 4) AS score FROM vec JOIN cen USING (term) GROUP BY ALL")
@@ -351,15 +429,51 @@ def doc_centroid_cosine(spark, d):
     return terms.similarity(v, terms.centroids(v, _members(spark, d), "doc_id", "source_batch"), "doc_id", "source_batch").withColumn("score", F.round("score", 4))
 
 
-@query(
-    f"""WITH {_CEN}, sims AS (SELECT source_batch, doc_id, sum(vec.weight * cen.weight) AS s FROM vec JOIN docs USING (doc_id) JOIN cen USING (source_batch, term) GROUP BY ALL)
-SELECT source_batch, CAST(count(*) AS BIGINT) AS doc_count, round(avg(coalesce(s, 0)), 4) AS coherence, CAST(1.0 AS DOUBLE) AS source_concentration FROM docs LEFT JOIN sims USING (source_batch, doc_id) GROUP BY 1"""
-)
+def _quality_sql(group: str) -> str:
+    return f"""WITH {_VEC}, total AS (SELECT {group} AS g, term, sum(weight) AS raw FROM vec JOIN docs USING (doc_id) GROUP BY ALL),
+cen AS (SELECT g, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY g)) AS weight FROM total),
+sims AS (SELECT doc_id, sum(vec.weight * cen.weight) AS s FROM vec JOIN docs USING (doc_id) JOIN cen ON cen.g = docs.{group} AND cen.term = vec.term GROUP BY ALL),
+dup AS (SELECT text FROM docs WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1),
+per AS (SELECT {group} AS g, count(*) AS n, avg(coalesce(s, 0)) AS m, avg(CASE WHEN text IN (SELECT text FROM dup) THEN 1 ELSE 0 END) AS d FROM docs LEFT JOIN sims USING (doc_id) GROUP BY 1),
+src AS (SELECT g, max(k) / sum(k) AS share, count(*) AS sources FROM (SELECT {group} AS g, source_batch, count(*) AS k FROM docs GROUP BY ALL) GROUP BY 1)
+SELECT g AS {group}, CAST(n AS BIGINT) AS doc_count, round(m, 4) AS coherence, round(m, 4) AS assignment_confidence, round(share, 4) AS source_concentration, round(d, 4) AS duplicate_rate,
+  array_to_string(list_filter([CASE WHEN m < 0.2 AND n > 1 THEN 'low-coherence topic' END, CASE WHEN share > 0.85 AND sources > 1 THEN 'representative documents are concentrated in one source batch' END], lambda x: x IS NOT NULL), ' | ') AS warnings
+FROM per JOIN src USING (g)"""
+
+
+def _quality(spark, d, group: str) -> DataFrame:
+    _, _, v = _vectors(spark, d)
+    df = docs(spark, d)
+    members = df.select(F.col(group).alias("topic"), "doc_id")
+    out = topics.quality(v, terms.centroids(v, members, "doc_id", "topic"), members, df, "topic", corpus.duplicate_groups(df, F.col("text")))
+    return out.withColumn("warnings", F.array_join("warnings", " | ")).withColumnRenamed("topic", group)
+
+
+@query(_quality_sql("source_batch"))
 def topic_quality_by_source(spark, d):
+    return _quality(spark, d, "source_batch")
+
+
+@query(_quality_sql("language"))
+def topic_quality_by_language(spark, d):
+    return _quality(spark, d, "language")
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS}, {_PAGES}, p AS (SELECT doc_id, count(*) AS n FROM pages GROUP BY 1), c AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)
+SELECT source_batch, CAST(count(*) AS BIGINT) AS doc_count, CAST(sum(coalesce(p.n, 0)) AS BIGINT) AS page_count, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS chunk_count FROM docs LEFT JOIN p USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY 1""")
+def topic_rollups(spark, d):
+    df = docs(spark, d)
+    return topics.rollups(_members(spark, d), page_table(df), chunk_table(df), "source_batch")
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS}, {_CEN.removeprefix(_PRE + ", ")}, sims AS (SELECT source_batch, doc_id, sum(vec.weight * cen.weight) AS s FROM vec JOIN docs USING (doc_id) JOIN cen USING (source_batch, term) GROUP BY ALL)
+SELECT c.doc_id || ':' || c."start" AS chunk, source_batch, round(coalesce(s, 0), 4) AS score FROM chunks c JOIN docs USING (doc_id) LEFT JOIN sims USING (source_batch, doc_id)""")
+def chunk_topic_scores(spark, d):
     _, _, v = _vectors(spark, d)
-    group = docs(spark, d).select(F.col("source_batch").alias("topic"), "doc_id")
-    out = topics.quality(v, terms.centroids(v, group, "doc_id", "topic"), group, docs(spark, d), "topic")
-    return out.withColumnRenamed("topic", "source_batch")
+    m = _members(spark, d)
+    scores = terms.similarity(v, terms.centroids(v, m, "doc_id", "source_batch"), "doc_id", "source_batch")
+    parts = chunk_table(docs(spark, d)).select("doc_id", F.concat_ws(":", "doc_id", "start").alias("chunk"))
+    return topics.chunk_scores(parts, m, scores, "source_batch", "chunk")
 
 
 @query(f"WITH {_LABEL} SELECT source_batch, term, score FROM score")
@@ -368,6 +482,16 @@ def source_label_terms(spark, d):
     return topics.label_scores(counts, idf_table, _members(spark, d), "source_batch")
 
 
+@query(f"""WITH {_LABEL}, best AS (SELECT source_batch, list(term ORDER BY score DESC, term) AS ts FROM score GROUP BY 1),
+kept AS (SELECT source_batch, string_split(list_reduce(ts, lambda acc, x: CASE WHEN len(string_split(acc, chr(31))) >= 12 OR len(list_filter(string_split(acc, chr(31)), lambda y: contains(y, x) OR contains(x, y))) > 0 THEN acc ELSE acc || chr(31) || x END), chr(31)) AS k FROM best)
+SELECT source_batch, array_to_string(k[1:8], ', ') AS label_terms, array_to_string(list_filter(k, lambda t: contains(t, ' '))[1:5], ', ') AS label_phrases FROM kept""")
+def source_labels(spark, d):
+    """Label terms and phrases of each source."""
+    counts, idf_table, _ = _vectors(spark, d)
+    out = topics.labels(topics.label_scores(counts, idf_table, _members(spark, d), "source_batch"), "source_batch")
+    return out.select("source_batch", F.array_join("label_terms", ", ").alias("label_terms"), F.array_join("label_phrases", ", ").alias("label_phrases"))
+
+
 def _top8(spark, d) -> DataFrame:
     scores = source_label_terms(spark, d)
     r = F.row_number().over(Window.partitionBy("source_batch").orderBy(F.desc("score"), "term"))
@@ -412,16 +536,16 @@ def bm25_documents(spark, d):
 
 @query(f"WITH {_DOC_BM25} SELECT doc_id, score FROM scored")
 def bm25_from_postings(spark, d):
+    """From postings and lengths that were written first, as an index has them."""
     u = _doc_units(spark, d)
-    lengths = u.select("unit", F.greatest(F.size("words"), F.lit(1)).alias("dl"))
-    return search.bm25_postings(search.postings(u), lengths, TERMS).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
+    lengths = materialize(u.select("unit", F.greatest(F.size("words"), F.lit(1)).alias("dl")), "lengths")
+    found = materialize(search.postings(u).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    return search.bm25_postings(found, lengths, TERMS).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {_CHUNKS}, {_bm25_sql(f'SELECT doc_id || chr(58) || "start" AS unit, doc_id, {_tok("text")} AS w FROM chunks')} SELECT unit AS chunk, score FROM scored""")
 def bm25_passages(spark, d):
-    df = docs(spark, d)
-    parts = chunk_table(df).join(df.select("doc_id", "text"), "doc_id")
-    parts = parts.select("doc_id", F.concat_ws(":", "doc_id", "start").alias("chunk"), T.substring(F.col("text"), F.col("start"), F.col("end")).alias("text"))
+    parts = chunk_table(docs(spark, d), with_text=True).select("doc_id", F.concat_ws(":", "doc_id", "start").alias("chunk"), "text")
     return search.bm25(search.units(parts, "chunk", "doc_id", F.col("text")), TERMS).select(F.col("unit").alias("chunk"), F.round("score", 4).alias("score"))
 
 
@@ -446,46 +570,70 @@ def bm25_scoped(spark, d):
     return _scoped(spark, d).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_SCOPED} SELECT CAST(row_number() OVER (ORDER BY score DESC, unit) AS INTEGER) AS rank, doc_id, score FROM scored ORDER BY score DESC, unit LIMIT 15")
+@query(f"WITH {_SCOPED} SELECT CAST(row_number() OVER (ORDER BY raw DESC, unit) AS INTEGER) AS rank, doc_id, score FROM scored ORDER BY raw DESC, unit LIMIT 15")
 def search_filtered(spark, d):
     """A top-15 report over five sources."""
     return search.top(_scoped(spark, d), 15).select("rank", F.col("doc").alias("doc_id"), "score")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)@mail')")
+@query(f"WITH {_PRE}, {_MAILS}, five AS (SELECT DISTINCT lower(mail) AS name FROM mails ORDER BY 1 LIMIT 5) SELECT DISTINCT doc_id FROM mails WHERE lower(mail) IN (SELECT name FROM five)")
 def entity_semijoin(spark, d):
-    df = docs(spark, d)
-    hits = df.filter(F.rlike("text", F.lit(r"(?i)@mail"))).select("doc_id", F.lit("example").alias("normalized_text"))
-    return search.with_entities(df, hits, ["Example"]).select("doc_id")
+    """Documents that mention any of five addresses of the mention table."""
+    found = materialize(mails(spark, d).select("doc_id", F.lower("text").alias("normalized_text")), "mails")
+    names = [r[0] for r in found.select("normalized_text").distinct().orderBy("normalized_text").limit(5).collect()]
+    return search.with_entities(docs(spark, d), found, [n.upper() for n in names]).select("doc_id")
 
 
-_DIVERSE = """top AS (SELECT row_number() OVER (ORDER BY score DESC, unit) AS r, doc_id, score FROM scored ORDER BY score DESC, unit LIMIT 50),
-a AS (SELECT top.*, source_batch, row_number() OVER (ORDER BY r) AS k, row_number() OVER (PARTITION BY source_batch ORDER BY r) AS s FROM top JOIN docs USING (doc_id))"""
+_DIVERSE = """a AS (SELECT scored.*, source_batch, row_number() OVER (ORDER BY raw DESC, unit) AS r, row_number() OVER (PARTITION BY source_batch ORDER BY raw DESC, unit) AS s FROM scored JOIN docs USING (doc_id))"""
 
 
-@query(f"WITH {_DOC_BM25}, {_DIVERSE} SELECT CAST(row_number() OVER (ORDER BY NOT (k <= 3 OR s = 1), r) AS INTEGER) AS rank, doc_id, source_batch, score FROM a")
+@query(f"WITH {_DOC_BM25}, {_DIVERSE} SELECT CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, source_batch, score FROM a WINDOW w AS (ORDER BY NOT (r <= 3 OR s = 1 OR source_batch IS NULL OR source_batch = ''), r) QUALIFY rank <= 50")
 def diversified_search(spark, d):
-    """A top-50 report, reordered."""
-    best = search.top(search.bm25(_doc_units(spark, d), TERMS), 50).join(docs(spark, d).select(F.col("doc_id").alias("doc"), "source_batch"), "doc")
-    return search.diversify(best, "source_batch").select("rank", F.col("doc").alias("doc_id"), "source_batch", "score")
+    """A top-50 report over all scored documents, each source's first ones first."""
+    scored = materialize(search.bm25(_doc_units(spark, d), TERMS), "scored")
+    sources = docs(spark, d).select(F.col("doc_id").alias("doc"), "source_batch")
+    return search.top_diversified(scored, sources, "source_batch", 50).select("rank", F.col("doc").alias("doc_id"), "source_batch", "score")
+
+
+def _result_sql() -> str:
+    return f"""{_first_hit_sql()},
+a AS (SELECT *, greatest(0, least(len(text), greatest(0, (hs + he) // 2 - 210) + 420) - 420) AS s, least(len(text), greatest(0, (hs + he) // 2 - 210) + 420) AS e FROM hit),
+b AS (SELECT *, instr(reverse(substr(text, greatest(0, s - 119) + 1, s + 1 - greatest(0, s - 119))), chr(10)) AS back, instr(substr(text, e + 1, least(len(text), e + 120) - e), chr(10)) AS ahead FROM a),
+c AS (SELECT *, CASE WHEN back > 0 THEN s + 2 - back ELSE s END AS s2, CASE WHEN ahead > 0 THEN e + ahead - 1 ELSE e END AS e2 FROM b),
+r AS (SELECT *, trim(substr(text, s2 + 1, greatest(0, least(e2, s2 + 650) - s2)), chr(10) || ' ') AS snippet FROM c)"""
+
 
+@query(f"""WITH {_SCOPED}, {_result_sql()}
+SELECT CAST(row_number() OVER (ORDER BY raw DESC, unit) AS INTEGER) AS rank, doc_id, score, array_to_string(list_filter({TERMS!r}, lambda t: contains(lower(text), t)), ',') AS matched, snippet FROM scored JOIN r USING (doc_id) ORDER BY raw DESC, unit LIMIT 15""")
+def search_results(spark, d):
+    """A top-15 report over five sources, with matched terms and snippets."""
+    best = search.top(_scoped(spark, d), 15).join(docs(spark, d).select(F.col("doc_id").alias("doc"), "text"), "doc")
+    best = best.withColumn("h", T.first_hit(F.col("text"), TERMS, F.lit(0), F.length("text"))).withColumn("s", T.excerpt_range(F.col("text"), F.col("h.start"), F.col("h.end"), 420, 650))
+    return best.select("rank", F.col("doc").alias("doc_id"), "score", F.array_join(T.matched_terms(F.col("text"), TERMS), ",").alias("matched"), T.substring(F.col("text"), F.col("s.start"), F.col("s.end")).alias("snippet"))
 
-@query(f"""WITH {_DOC_BM25}, top AS (SELECT doc_id FROM scored ORDER BY score DESC, unit LIMIT 50),
+
+@query(f"""WITH {_DOC_BM25}, top AS (SELECT doc_id FROM scored),
 m AS (SELECT doc_id, lower(mail) AS value, mail FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){E.EMAIL}')) AS mail FROM docs)),
 e AS (SELECT 'entity' AS kind, value, CAST(count(DISTINCT doc_id) FILTER (doc_id IN (SELECT doc_id FROM top)) AS BIGINT) AS observed, CAST(count(DISTINCT doc_id) AS BIGINT) AS in_scope, CAST(count(*) FILTER (doc_id IN (SELECT doc_id FROM top)) AS BIGINT) AS mentions FROM m GROUP BY value),
 t AS (SELECT 'doc_type' AS kind, 'text' AS value, CAST(count(*) FILTER (doc_id IN (SELECT doc_id FROM top)) AS BIGINT) AS observed, CAST(count(*) AS BIGINT) AS in_scope, CAST(count(*) FILTER (doc_id IN (SELECT doc_id FROM top)) AS BIGINT) AS mentions FROM docs)
 SELECT kind, value, observed, in_scope, mentions FROM t UNION ALL (SELECT * FROM e WHERE observed > 0 ORDER BY observed DESC, in_scope DESC, mentions DESC, value LIMIT 3)""")
 def refinements(spark, d):
     df = docs(spark, d)
-    best = search.top(search.bm25(_doc_units(spark, d), TERMS), 50).select(F.col("doc").alias("doc_id"))
-    mails = df.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?i)" + E.EMAIL), F.lit(0))).alias("text")).select("doc_id", "text", F.lower("text").alias("normalized_text"), F.lit("email").alias("type"))
-    return search.refinements(best, df.select("doc_id"), df, mails).drop("label")
+    best = materialize(search.bm25(_doc_units(spark, d), TERMS).select(F.col("doc").alias("doc_id")), "hits")
+    found = materialize(mails(spark, d).select("doc_id", "text", F.lower("text").alias("normalized_text"), "type"), "mails")
+    return search.refinements(best, df.select("doc_id"), df, found).drop("label")
 
 
-@query("SELECT CAST(3 AS BIGINT) * 0 + doc_id AS doc_id, substr(coalesce(text, ''), 101, 3000) AS window_text FROM documents")
+@query(f"""WITH {_PRE}, {_first_hit_sql()},
+a AS (SELECT *, greatest(0, hs - 700) AS s0, least(len(text), he + 700) AS e0, greatest(0, hs - greatest(0, 1000 - (he - hs)) // 2) AS mid FROM hit),
+b AS (SELECT *, CASE WHEN e0 - s0 > 1000 THEN mid ELSE s0 END AS s1, CASE WHEN e0 - s0 > 1000 THEN least(len(text), mid + 1000) ELSE e0 END AS e1 FROM a),
+c AS (SELECT *, CASE WHEN he > e1 THEN greatest(0, he - 1000) ELSE s1 END AS s2, greatest(e1, he) AS e2 FROM b)
+SELECT doc_id, trim(substr(text, s2 + 1, e2 - s2), chr(10) || ' ') AS window_text FROM c""")
 def read_window(spark, d):
-    """The window of at most 3000 characters from the 101st on, of every document."""
-    return docs(spark, d).select("doc_id", F.substring("text", 101, 3000).alias("window_text"))
+    """At most 1000 characters round the first hit of every document."""
+    df = docs(spark, d).withColumn("h", T.first_hit(F.col("text"), TERMS, F.lit(0), F.length("text")))
+    df = df.withColumn("w", T.window_range(F.col("text"), F.col("h.start"), F.col("h.end"), 700, 700, 1000))
+    return df.select("doc_id", T.substring(F.col("text"), F.col("w.start"), F.col("w.end")).alias("window_text"))
 
 
 @query("""SELECT conv_id, turn, CAST(greatest(0, least(len(coalesce(text, '')), 1000 - (sum(len(coalesce(text, ''))) OVER w - len(coalesce(text, ''))))) AS BIGINT) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
@@ -512,18 +660,20 @@ def knn_cosine(spark, d):
     return _near(spark, d, 20)
 
 
-@query(f"WITH {_DOC_BM25} SELECT CAST(row_number() OVER (ORDER BY score DESC, unit) AS INTEGER) AS rank, doc_id, score FROM scored ORDER BY score DESC, unit LIMIT 20")
+@query(f"WITH {_DOC_BM25} SELECT CAST(row_number() OVER (ORDER BY raw DESC, unit) AS INTEGER) AS rank, doc_id, score FROM scored ORDER BY raw DESC, unit LIMIT 20")
 def keyword_topk(spark, d):
     return search.top(search.bm25(_doc_units(spark, d), TERMS), 20).select("rank", F.col("doc").alias("doc_id"), "score")
 
 
-@query(f"""WITH {_DOC_BM25}, {_KNN}, k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, unit) AS r FROM (SELECT * FROM scored ORDER BY score DESC, unit LIMIT 20)),
-v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS r FROM near),
-f AS (SELECT coalesce(k.id, v.id) AS doc_id, round(coalesce(1.0 / (60 + k.r), 0) + coalesce(1.0 / (60 + v.r), 0), 6) AS score FROM k FULL JOIN v ON k.id = v.id)
-SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f ORDER BY score DESC, doc_id LIMIT 15""".replace("1.0 / (60", "CAST(1.0 AS DOUBLE) / (60"))
+@query(f"""WITH {_VEC}, {_bm25_sql('SELECT doc_id AS unit, doc_id, w FROM tok')}, k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY raw DESC, unit) AS r FROM (SELECT * FROM scored ORDER BY raw DESC, unit LIMIT 20)),
+near AS (SELECT doc_id AS id, round(sum(weight) / sqrt({len(TERMS)}), 9) AS s FROM vec WHERE list_contains({TERMS!r}, term) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), v AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM near),
+f AS (SELECT coalesce(k.id, v.id) AS doc_id, round(coalesce(CAST(1.0 AS DOUBLE) / (60 + k.r), 0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + v.r), 0), 6) AS score FROM k FULL JOIN v ON k.id = v.id)
+SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f ORDER BY score DESC, doc_id LIMIT 15""")
 def hybrid_rrf(spark, d):
-    """Keyword ranks of documents fused with vector ranks of the embeddings of the same numbers."""
-    return hybrid.fuse(keyword_topk(spark, d), _near(spark, d, 20).withColumnRenamed("vec_id", "doc_id"), "doc_id", 15)
+    """Keyword ranks of documents fused with their ranks by cosine of TF-IDF vectors to the query."""
+    _, _, v = _vectors(spark, d)
+    near = v.filter(F.col("term").isin(TERMS)).groupBy("doc_id").agg(F.round(F.sum("weight") / len(TERMS) ** 0.5, 9).alias("s")).orderBy(F.desc("s"), "doc_id").limit(20)
+    return hybrid.fuse(keyword_topk(spark, d), near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id"))), "doc_id", 15)
 
 
 # --- topics by clustering, recursion, files ----------------------------------------------
@@ -533,26 +683,47 @@ def kmeans_topics(spark, d):
     return topics.build(docs(spark, d), v)
 
 
-@query("""WITH RECURSIVE t AS (SELECT 'T.v1' AS topic_id, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT 'T.v1.' || n_regionkey, 'T.v1' FROM nation GROUP BY 1 UNION ALL SELECT 'T.v1.' || n_regionkey || '.' || n_nationkey, 'T.v1.' || n_regionkey FROM nation),
-down AS (SELECT topic_id FROM t WHERE topic_id = 'T.v1.1' UNION ALL SELECT t.topic_id FROM t JOIN down ON t.parent = down.topic_id) SELECT topic_id FROM down""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'T.v1.' || lang AS parent, 'T.v1.' || lang || '.' || source AS topic_id FROM documents WHERE lang <> '' AND source <> ''),
+down AS (SELECT 'T.v1.en' AS topic_id FROM e WHERE parent = 'T.v1.en' UNION SELECT e.topic_id FROM e JOIN down ON e.parent = down.topic_id) SELECT topic_id FROM down""")
 def descendants(spark, d):
-    """Nations under regions as a topic tree: all of region 1."""
-    n = table(spark, d, "nation")
-    region = F.concat(F.lit("T.v1."), F.col("n_regionkey"))
-    tree = n.select(region.alias("topic_id")).unionByName(n.select(F.concat_ws(".", region, F.col("n_nationkey").cast("string")).alias("topic_id")))
-    return topics.descendants(tree, "T.v1.1")
-
-
-@query()
+    """Sources under languages as a topic tree: all of English."""
+    df = docs(spark, d).filter("language <> '' AND source_batch <> ''")
+    language = F.concat(F.lit("T.v1."), F.col("language"))
+    tree = df.select(language.alias("topic_id")).unionByName(df.select(F.concat_ws(".", language, "source_batch").alias("topic_id")))
+    return topics.descendants(tree, "T.v1.en")
+
+
+@query(f"""WITH {_CEN}, sims AS (SELECT doc_id, source_batch AS g, language, round(sum(vec.weight * cen.weight), 9) AS s FROM vec JOIN docs USING (doc_id) JOIN cen USING (source_batch, term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, doc_id) AS r FROM sims),
+f AS (SELECT *, row_number() OVER (PARTITION BY g, language ORDER BY r) = 1 AS fresh FROM r),
+c AS (SELECT *, CASE WHEN r <= 3 THEN 0 WHEN fresh THEN 1 ELSE 2 END AS class FROM f)
+SELECT g AS "group", doc_id, CAST(row_number() OVER w AS INTEGER) AS rank, ['central', 'diverse', 'outlier'][class + 1] AS reason FROM c WINDOW w AS (PARTITION BY g ORDER BY class, CASE WHEN class = 2 THEN -r ELSE r END) QUALIFY rank <= 8""")
 def representative_docs(spark, d):
     _, _, v = _vectors(spark, d)
     m = _members(spark, d)
-    sims = terms.similarity(v, terms.centroids(v, m, "doc_id", "source_batch"), "doc_id", "source_batch")
+    sims = terms.similarity(v, terms.centroids(v, m, "doc_id", "source_batch"), "doc_id", "source_batch").withColumn("score", F.round("score", 9))
     own = m.join(sims, ["doc_id", "source_batch"]).join(docs(spark, d).select("doc_id", "language"), "doc_id")
     return topics.representative_docs(own.select("source_batch", "doc_id", F.col("language").alias("doc_type"), F.col("score")).withColumn("group", F.col("source_batch")), "group")
 
 
 @query()
+def representative_snippets(spark, d):
+    """Up to five excerpts that stand for each source."""
+    counts, idf_table, v = _vectors(spark, d)
+    df, m = docs(spark, d), _members(spark, d)
+    label = topics.labels(topics.label_scores(counts, idf_table, m, "source_batch"), "source_batch")
+    scores = terms.similarity(v, terms.centroids(v, m, "doc_id", "source_batch"), "doc_id", "source_batch").withColumn("score", F.round("score", 9))
+    own = m.join(scores, ["doc_id", "source_batch"]).select("source_batch", "doc_id", "score")
+    parts = chunk_table(df, with_text=True).select(F.concat_ws(":", "doc_id", "start").alias("chunk_id"), "doc_id", F.lit(1).alias("page_number"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text", T.estimate_tokens(F.col("text")).alias("token_estimate"))
+    at = chunk_entity_join(spark, d).groupBy(F.concat_ws(":", "doc_id", "start").alias("chunk_id")).agg(F.count("*").alias("n"))
+    out = topics.snippets(label, own, parts, df.withColumnRenamed("text", "canonical_text"), at, "source_batch")
+    return out.withColumn("matched_terms", F.array_join("matched_terms", ","))
+
+
+@query(r"""WITH h AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(<script>[^<]*)<(/[a-z]+)>([^<]*</script>)', '\1' || chr(2) || '\2' || chr(3) || '\3', 'g') AS h FROM pages),
+n AS (SELECT page_id, url, list_transform(list_filter(regexp_split_to_array(h, '<!--(?s:.*?)-->|<[!/]?[a-zA-Z][^>]*>'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13)) <> ''),
+  lambda x: replace(replace(replace(replace(replace(replace(replace(replace(translate(x, chr(2) || chr(3), '<>'), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')) AS t FROM h)
+SELECT page_id, url, coalesce(array_to_string(t, chr(10)), '') AS text FROM n""")
 def html_text(spark, d):
     text = F.pandas_udf(_html, "string")
     return table(spark, d, "pages").select("page_id", "url", text("html").alias("text"))

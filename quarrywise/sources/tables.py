@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer parts than there are: a small table whose file cannot be split further."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session whose executors are in this process gets a temporary one; any other is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="quarrywise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -37,3 +49,13 @@ def remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session has ended
         pass
+
+
+def remove_others(spark: SparkSession, folder: str, prefix: str, kept: str) -> None:
+    """Remove the folders in ``folder`` whose names begin with prefix, but for one."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(top):
+        name = status.getPath().getName()
+        if name.startswith(prefix) and name != kept:
+            store.delete(status.getPath(), True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrywise.operators import search, topics
 from quarrywise.plans import build
-from quarrywise.plans.api import CorpusIndex, HybridIndex, estimate
+from quarrywise.plans.api import CorpusIndex, HybridIndex, _removals, estimate
 from quarrywise.plans.render import markdown
 from quarrywise.sources import extract, files
 
@@ -106,15 +106,105 @@ def test_reading_is_bounded(index):
 
 
 def test_copies_are_related_and_empty_ones_not(index):
-    rows = index.table("relationships").collect()
+    rows = index.table("duplicates").collect()
     assert {r["relation"] for r in rows} == {"duplicate", "near_duplicate"} and len(rows) == 4
+    first, second = sorted({r["doc_id"] for r in rows})
+    related = index.doc_card(second)["result"]["related_docs"]
+    assert [(r["target_doc_id"], r["relation"]) for r in related] == [(first, "duplicate"), (first, "near_duplicate")]
+
+
+def test_topic_rows_and_snippets(index):
+    root = next(iter(index._topics))
+    topic = index._topics[root]
+    assert (topic["doc_count"], topic["page_count"], topic["chunk_count"]) == (12, index.table("pages").count(), index.table("chunks").count())
+    assert topic["duplicate_rate"] == round(2 / 12, 4) and topic["assignment_confidence"] == topic["coherence"]
+    card = index.topic_card(root)["result"]
+    assert len({s["doc_id"] for s in card["snippets"]}) == len(card["snippets"]) and card["top_entities"]
+    text = {r["doc_id"]: r["canonical_text"] for r in index.table("documents").collect()}
+    assert all(text[s["doc_id"]][s["char_start"] : s["char_end"]] == s["text"] for s in card["snippets"])
+    doc = index.doc_card(card["snippets"][0]["doc_id"])["result"]
+    assert doc["best_passages"][0]["snippet_id"] == card["snippets"][0]["snippet_id"]
+    assert any(x.startswith("top terms: ") for x in doc["page_map"][0]["signals"])
+    assert index.table("chunk_topics").filter(F.col("topic_id") == root).count() == index.table("chunks").count()
+
+
+def test_scope_ids_are_stable_and_coverage_is_of_results(index):
+    scope = {"topic_ids": [next(iter(index._topics))]}
+    assert index.resolve_scope(scope)["scope_id"] == index.resolve_scope(dict(scope))["scope_id"]
+    ids = [r["doc_id"] for r in index.table("documents").orderBy("doc_id").limit(3).collect()]
+    found = index.search_within({"doc_ids": ids}, "report purchase salary outage", max_results=1)
+    coverage = found["cost_ledger"]["coverage"]
+    assert coverage["scope_docs"] == 3 and coverage["docs_referenced"] == 1 and coverage["estimated_scope_doc_coverage"] == 0.3333
+    assert found["result"]["total_estimated_matches"] >= 1 and found["result"]["results"][0]["doc_id"] in ids
+    assert index.search_within({"kind": "corpus"}, "the of")["result"]["results"] == []
+
+
+def test_search_from_postings_equals_search_of_texts(index):
+    documents, pages, chunks = (index.table(x) for x in ("documents", "pages", "chunks"))
+    for level in build.LEVELS:
+        words = search.units(build.units_of(level, documents, pages, chunks), "unit", "doc_id", F.col("text"))
+        want = {(r.unit, round(r.score, 9)) for r in search.bm25(words, ["approval", "payroll"]).collect()}
+        got = {(r.unit, round(r.score, 9)) for r in search.bm25_postings(index.table(f"postings_{level}"), index.table(f"lengths_{level}"), ["approval", "payroll"]).collect()}
+        assert got == want and want
+
+
+def test_answers_give_up_parts_in_order():
+    result = {"facets": {"a": 1}, "results": [{"text": "x" * 900, "actions": [1, 2]}, {"text": "y"}], "page_map": [1, 2]}
+    seen = []
+    for _ in _removals(result):
+        seen.append(json.loads(json.dumps(result)))
+    assert "facets" not in seen[0] and seen[2]["page_map"] == [] and len(seen[3]["results"]) == 1
+    assert seen[4]["results"][0]["actions"] == [1] and len(seen[6]["results"][0]["text"]) == 500 and seen[-1]["results"] == []
+
+
+def test_the_server_answers_lines(index, monkeypatch):
+    import io
+
+    from quarrywise.plans import server
+
+    monkeypatch.setenv("QUARRYWISE_INDEX", index.dir)
+    out = io.StringIO()
+    server.main(io.StringIO('{"id": 1, "tool": "orient", "args": {"max_top_topics": 1}}\n\n{"tool": "none"}\nnot json\n'), out)
+    first, *bad = map(json.loads, out.getvalue().splitlines())
+    assert first["id"] == 1 and first["result"]["result"]["corpus_summary"]["doc_count"] == 12 and all("error" in x for x in bad) and len(bad) == 2
+
+
+def test_an_index_is_replaced_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    (tmp_path / "tables-old").mkdir()
+    build.build_index(spark, rows, str(tmp_path))
+    assert len(list(tmp_path.glob("tables-*"))) == 1
+    index = CorpusIndex(spark, str(tmp_path))
+    assert index.search_within({"kind": "corpus"}, "gamma")["result"]["results"][0]["doc_id"] == "1"
+
+
+def test_cells_find_the_nearest(spark):
+    import numpy as np
+
+    from quarrywise.operators import hybrid
+
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in middle[i % 40] + 0.3 * rng.normal(size=16)]) for i in range(3000)] + [(9000, None)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    centres = hybrid.train_cells(vectors, "id", "v")
+    celled = hybrid.with_cells(vectors, "v", centres).cache()
+    assert celled.count() == 3001 and len(centres) > 40
+    hits = whole = 0
+    for q in range(0, 3000, 300):
+        exact = {r.id for r in hybrid.nearest(vectors, "id", "v", rows[q][1], 10).collect()}
+        near = {r.id for r in hybrid.nearest(hybrid.probed(celled, centres, rows[q][1]), "id", "v", rows[q][1], 10).collect()}
+        hits, whole = hits + len(exact & near), whole + len(exact)
+    assert hits / whole >= 0.9
+    assert hybrid.train_cells(vectors.limit(0), "id", "v") == [] and hybrid.with_cells(vectors, "v", []).filter("cell = 0").count() == 3001
 
 
 def test_hybrid(spark, index, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("hybrid"))
-    meta = build.build_hybrid(spark, index.dir, out)
-    assert meta["chunk_count"] == 11
+    meta = build.build_hybrid(spark, index.dir, out, ann_rows=5)
+    assert meta["chunk_count"] == 11 and meta["vector_index"]["created"] and meta["page_count"] == index.table("pages").count()
     h = HybridIndex(spark, out)
+    assert h.search("payroll overtime", "vector", exact=True)["results"][0]["source_batch"] == "payroll"
     for mode in ("keyword", "vector", "hybrid"):
         assert h.search("payroll overtime", mode)["results"][0]["source_batch"] == "payroll"
     assert h.search("approval", max_results=0)["results"] == []

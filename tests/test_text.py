@@ -85,3 +85,40 @@ def test_mentions():
     assert [(m[2], m[3]) for m in found] == [("ann@example.org", "email"), ("555-123-4567", "phone"), ("$1,200.50", "money"), ("invoice #A-17", "case_number"), ("Blue River Systems", "organization")]
     assert E.mentions("Case Report") == [(0, 11, "Case Report", "unknown", 0.55, "capitalized_phrase")]
     assert E.mentions("Ann went home", lambda t: [(0, 3, "person")])[0][3] == "person"
+
+
+def test_mentions_equal_a_plain_model():
+    """Rules in turn mark what they take; a match that meets a mark is dropped."""
+    r = random.Random(4)
+    bits = ["Ann Lee", "ann@example.org", "555-123-4567", "$1,200.50", "case #A-7", "P.O. B12", "Blue River Systems", "invoice 12", "the", ",", ".", "\n", "B.C.D@x.com", "+1 (555) 123-4567", "A" * 90 + " Bee"]
+    for _ in range(200):
+        text = " ".join(r.choices(bits, k=r.randrange(0, 25)))
+        marked, want = set(), []
+        for pattern, flags, kind in ((E.EMAIL, re.I, "email"), (E.PHONE, 0, "phone"), (E.MONEY, 0, "money"), (E.CASE, re.I, "case_number"), (E.PHRASE, 0, None)):
+            for m in re.finditer(pattern, text, flags):
+                if kind is None and len(m[0].strip()) > 80 or marked & set(range(*m.span())) or not re.search(r"\w", m[0]):
+                    continue
+                marked |= set(range(*m.span()))
+                want.append((*m.span(), m[0].strip(), kind or ("organization" if {w.strip(",") for w in m[0].lower().split()} & E.ORGANISATION else "unknown")))
+        assert [m[:4] for m in E.mentions(text)] == want
+
+
+def test_pages_and_chunks_equal_a_plain_model():
+    r = random.Random(6)
+    for _ in range(60):
+        text = "".join(r.choice(["word ", "w" * 40, "\n", "\n\n", " ", "\n\n\n"]) for _ in range(r.randrange(0, 900)))
+        want, left = [], text
+        while len(left) > 700:
+            half = left[350:700]
+            at = next((350 + half.rindex(s) for s in ("\n\n", "\n") if s in half), 700)
+            want.append(left[:at].strip())
+            left = left[at:]
+        assert S.pages(text, 700) == ([p for p in [*want, left.strip()] if p] if len(text) > 700 else [text])
+        want, at = [], 0
+        while at < len(text):
+            part = text[at + 50 : at + 350]
+            to = len(text) if at + 180 >= len(text) else next((at + 50 + part.rindex(s) for s in ("\n\n", "\n", " ") if s in part), at + 180)
+            if text[at:to].strip():
+                want.append(text[at:to].strip())
+            at = to
+        assert [text[a:b] for a, b in S.chunks(text, 0, len(text), 180, 50, 350)] == want
