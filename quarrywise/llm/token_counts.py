@@ -60,10 +60,9 @@ class Counter:
                 self.known, self.size = {}, 0
             new = list({p for p in parts if p not in self.known})
             found = {p: len(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-            for p in new:
-                if len(p) <= LONGEST:
-                    self.known[p] = found[p]
-                    self.size += BYTES_EACH + len(p)
+            kept = found if max(map(len, new)) <= LONGEST else {p: n for p, n in found.items() if len(p) <= LONGEST}
+            self.known.update(kept)
+            self.size += BYTES_EACH * len(kept) + sum(map(len, kept))
             return [found[p] if p in found else self.known[p] for p in parts]
 
 
