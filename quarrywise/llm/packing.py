@@ -80,17 +80,14 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(some):
-                for w in some:
-                    self._put(w, self._ids(w))
+                self._put({w: self._ids(w) for w in some})
                 continue
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, (4 * at).tolist()):
-                self._put(w, raw[start:end])
-                start = end
+            raw, ends = ids.tobytes(), (4 * at).tolist()
+            self._put({w: raw[i:j] for w, i, j in zip(some, [0, *ends], ends)})
 
-    def _put(self, word: str, ids: bytes) -> None:
-        self.known[word] = ids
-        self.size += BYTES_EACH + len(word) + len(ids)
+    def _put(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.size += BYTES_EACH * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Make all of chunks known; the ids of those too long to remember."""
@@ -98,25 +95,20 @@ class WordEncoder:
             self.older, self.known, self.size = self.known, {}, 0
         long_ = {x: self._ids(x) for x in chunks if len(x) > LONGEST}
         older, known = self.older, self.known
-        new = []
-        for x in chunks - known.keys() - long_.keys():
-            ids = older.get(x)
-            if ids is None:
-                new.append(x)
-            else:
-                self._put(x, ids)
-        tailed = {x: x[:-1] for x in new if x[-1] in ".,;:!?" and x[:-1].isalpha()}
-        plain = {x for x in new if x.isalpha()} | set(tailed.values())
-        for x in plain & older.keys() - known.keys():
-            self._put(x, older[x])
-        self._plain(sorted(plain - known.keys()))
-        for x in new:
-            if x in tailed:
-                if x[-1] not in known:
-                    self._put(x[-1], self._ids(x[-1]))
-                self._put(x, known[tailed[x]] + known[x[-1]])
-            elif x not in known:
-                self._put(x, self._ids(x))
+        new = chunks - known.keys()
+        new.difference_update(long_)
+        self._put({x: older[x] for x in new & older.keys()})
+        new = [x for x in new if x not in known]
+        plain = {x for x in new if x.isalpha()}
+        tailed = {x: head for x in new if x[-1] in ".,;:!?" and (head := x[:-1]).isalpha()}
+        plain.update(tailed.values())
+        plain = {x for x in plain if x not in known}
+        again = plain & older.keys()
+        self._put({x: older[x] for x in again})
+        self._plain(sorted(plain - again))
+        self._put({x: self._ids(x) for x in {x[-1] for x in tailed} if x not in known})
+        self._put({x: known[head] + known[x[-1]] for x, head in tailed.items()})
+        self._put({x: self._ids(x) for x in new if x not in known})
         return long_
 
     def _words(self, text: str) -> list[str] | None:
