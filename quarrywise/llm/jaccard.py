@@ -54,8 +54,10 @@ _PART = 1 << 16
 #: The least rank of frequent tokens.
 FREQUENT = 128
 #: Signatures that a task holds to thin its own runs, and the length from which it does.
-HELD = 1_000_000
+HELD = 200_000
 LONG_RUN = 64
+#: Rows of an Arrow batch of signatures.
+SENT = 50_000
 #: Tokens and members of the largest family that one task settles: 16 MB of values.
 FAMILY_TOKENS = 2_000_000
 FAMILY_MEMBERS = 30_000
@@ -114,7 +116,7 @@ class Seen:
     def __init__(self, most: int = 200_000):
         self.most, self.nodes = most, set()
 
-    def new(self, node) -> bool:
+    def new(self, node: bytes) -> bool:
         if node in self.nodes:
             return False
         if len(self.nodes) >= self.most:
@@ -123,7 +125,8 @@ class Seen:
         return True
 
     def fresh(self, size: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        return np.array([n > 0 and self.new((k, c)) for n, k, c in zip(size.tolist(), keys.tolist(), checks.tolist())], bool)
+        raw = np.stack([keys, checks], 1).tobytes()
+        return np.array([n > 0 and self.new(raw[16 * i : 16 * i + 16]) for i, n in enumerate(size.tolist())], bool)
 
 
 # --- the sketch --------------------------------------------------------------------------
@@ -265,12 +268,14 @@ def _thinned(sig: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int):
 def _index(shared, words: int, percent: int, thin: bool = True):
     """text -> (sig, key, n, null) for each signature, or (0, key, 0, pivot) where a run was thinned."""
 
-    def packed(held) -> pa.RecordBatch:
+    def packed(held) -> Iterator[pa.RecordBatch]:
         sig, node, n = (np.concatenate(x) for x in zip(*held))
         (sig, node, n), (pivot, other) = _thinned(sig, node, n, percent) if thin else ((sig, node, n), (sig[:0], sig[:0]))
         zero = np.zeros(len(other), np.int64)
         columns = [pa.array(np.concatenate(x)) for x in ((sig, zero), (node, other), (n, zero.astype(np.int32)))]
-        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(sig), pa.int64()), pa.array(pivot)])], names=["sig", "key", "n", "pivot"])
+        whole = pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(sig), pa.int64()), pa.array(pivot)])], names=["sig", "key", "n", "pivot"])
+        for i in range(0, len(whole), SENT):
+            yield whole.slice(i, SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen, held, rows = shared.value, Seen(), [], 0
@@ -284,10 +289,10 @@ def _index(shared, words: int, percent: int, thin: bool = True):
                 held.append((sig, np.full(len(sig), keys[i], np.int64), np.full(len(sig), b - a, np.int32)))
                 rows += len(sig)
                 if rows >= HELD:
-                    yield packed(held)
+                    yield from packed(held)
                     held, rows = [], 0
         if held:
-            yield packed(held)
+            yield from packed(held)
 
     return run
 
