@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -46,17 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends there.
 
-    Lost executors cost nothing that was finished.  The table goes by free(), or when the driver exits.
+    Lost executors cost nothing that was finished.  The table goes by free(), or when the driver exits; the shuffle files it took go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrywise/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     if not _written:
         atexit.register(free, spark, 0)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, a write's shuffle files are removed when it is done, not only when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def mark() -> int:
     """The number of tables written so far, for free()."""
     return len(_written)

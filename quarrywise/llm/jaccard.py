@@ -25,6 +25,9 @@ with its pivot and what meets it there, in chunks: linear, and enough to join ne
 Then only signatures whose sets are still in different components are looked at again; within them, sets
 outside the largest component meet, in blocks, one another and chunks of that component.
 
+Signatures and token sets of all texts together take more room than the texts.  Inputs of over ROUNDS_FROM bytes send them
+in rounds, a share of the signatures, families or pivots each, and what a round sent is removed before the next.
+
 Nulls and texts without words have the empty set, linked with nothing.  A null doc_id takes part
 but is never the smallest, unless a component has no other.  Repeated rows stay, as copies.  Very long texts
 are sets like others.  Only the columns doc_id and text are read, so others may have any names.  Token values are
@@ -34,6 +37,7 @@ are sets like others.  Only the columns doc_id and text are read, so others may
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +65,9 @@ SENT = 50_000
 #: Tokens and members of the largest family that one task settles: 16 MB of values.
 FAMILY_TOKENS = 2_000_000
 FAMILY_MEMBERS = 30_000
+#: Rounds (a power of two) in which inputs of over so many bytes of text send signatures and sets.
+ROUNDS = 4
+ROUNDS_FROM = 256 << 20
 #: Levels below this one (larger sets of under 16 tokens) take single tokens only.
 _LEAST_LEVEL = 4
 #: Rounds after which components() gives up; each round joins ever longer chains, so a few suffice.
@@ -132,10 +139,9 @@ class Seen:
 # --- the sketch --------------------------------------------------------------------------
 
 
-def _slots(documents: DataFrame) -> int:
-    """Counters for this input: a power of two."""
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_SLOTS, max(_PART, 1 << (int(size) // SLOT_BYTES).bit_length()))
+def _slots(size: int) -> int:
+    """Counters for an input of so many bytes: a power of two."""
+    return min(MOST_SLOTS, max(_PART, 1 << (size // SLOT_BYTES).bit_length()))
 
 
 _SURVEY = ("rid", "key", "check", "n", "part", "counts")
@@ -196,7 +202,8 @@ def _ranks(surveyed: DataFrame, slots: int, partitions: int) -> np.ndarray:
     out = np.zeros((slots // _PART, _PART), np.uint8)
     whole = parts.agg(F.sum("n")).first()[0]
     if whole:
-        for row in parts.select("part", "counts").repartition(min(partitions, len(out)), "part").mapInArrow(_ranked(whole / slots), "part int, ranks binary").toLocalIterator():
+        ranked = parts.select("part", "counts").repartition(min(partitions, len(out)), "part").mapInArrow(_ranked(whole / slots), "part int, ranks binary")
+        for row in C.materialize(ranked, "ranks").toLocalIterator():
             out[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
     return out.ravel()
 
@@ -265,8 +272,8 @@ def _thinned(sig: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int):
     return (sig[keep], node[keep], n[keep]), (pairs[:, 0], pairs[:, 1])
 
 
-def _index(shared, words: int, percent: int, thin: bool = True):
-    """text -> (sig, key, n, null) for each signature, or (0, key, 0, pivot) where a run was thinned."""
+def _index(shared, words: int, percent: int, thin: bool = True, turn: int = 0, rounds: int = 1):
+    """text -> (sig, key, n, null) for each signature of this turn, or (0, key, 0, pivot) where a run was thinned."""
 
     def packed(held) -> Iterator[pa.RecordBatch]:
         sig, node, n = (np.concatenate(x) for x in zip(*held))
@@ -285,7 +292,8 @@ def _index(shared, words: int, percent: int, thin: bool = True):
             rank = ranks[(tokens & U(len(ranks) - 1)).astype(np.int64)]
             for i in np.flatnonzero(seen.fresh(size, keys, checks)).tolist():
                 a, b = bounds[i], bounds[i + 1]
-                sig = signatures(tokens[a:b], rank[a:b], percent).view(np.int64)
+                sig = signatures(tokens[a:b], rank[a:b], percent)
+                sig = sig[mix(sig) & U(rounds - 1) == U(turn)].view(np.int64)
                 held.append((sig, np.full(len(sig), keys[i], np.int64), np.full(len(sig), b - a, np.int32)))
                 rows += len(sig)
                 if rows >= HELD:
@@ -472,35 +480,47 @@ class _Join:
         C.small_batches(self.spark)
         self.docs = documents.select("doc_id", C.text_or_empty().alias("text"))
         self.parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.bytes = int(self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        self.rounds = ROUNDS if self.bytes > ROUNDS_FROM else 1
 
     def survey(self) -> None:
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        slots = _slots(self.docs)
+        slots, since = _slots(self.bytes), C.mark()
         survey = f"doc_id {kind}, rid bigint, key bigint, check bigint, n bigint, part int, counts binary"
         surveyed = C.materialize(self.docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_survey(self.words, slots), survey), "survey")
-        self.rows = surveyed.filter(F.col("part").isNull()).select("doc_id", "rid", "key", "check", "n")
         self.ranks = self.spark.sparkContext.broadcast(_ranks(surveyed, slots, self.parts))
+        self.rows = C.materialize(surveyed.filter(F.col("part").isNull()).select("doc_id", "rid", "key", "check", "n"), "rows")
+        C.free(self.spark, since, keep=1)
         nodes = self.rows.filter("n > 0").groupBy("key", "check").agg(F.min("rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
         self.nodes = C.materialize(nodes, "nodes")
 
-    def _signed(self, texts: DataFrame, thin: bool = True) -> DataFrame:
-        return texts.select("text").mapInArrow(_index(self.ranks, self.words, self.percent, thin), "sig bigint, key bigint, n int, pivot bigint")
+    def _signed(self, texts: DataFrame, turn: int, thin: bool = True) -> DataFrame:
+        return texts.select("text").mapInArrow(_index(self.ranks, self.words, self.percent, thin, turn, self.rounds), "sig bigint, key bigint, n int, pivot bigint")
 
     def _texts(self, members: DataFrame) -> DataFrame:
         """A document of each member, and others of the same doc_id."""
         rep = C.maybe_broadcast(members.select(F.col("doc_id").alias("rep")))
         return self.docs.join(rep, self.docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
 
-    def _compared(self, sets: DataFrame, dealt: DataFrame, *group: str) -> DataFrame:
-        """(id, root) of what is dealt (group columns, key, check, id, label) into one task a group."""
+    def _compared(self, dealt: DataFrame, rounds: int, *group: str) -> DataFrame:
+        """(id, root) of what is dealt (group columns, key, check, id, label, doc_id) into one task a group, a share of the groups each round."""
+        turn = F.pmod(F.xxhash64(*group), F.lit(rounds))
+        return reduce(DataFrame.unionByName, [C.materialize(self._met(dealt.filter(turn == i) if rounds > 1 else dealt, *group), "links") for i in range(rounds)])
+
+    def _met(self, dealt: DataFrame, *group: str) -> DataFrame:
+        sets = self._texts(dealt.select("doc_id").distinct()).select("text").mapInArrow(_sets_of(self.words), "key bigint, check bigint, tokens binary")
+        dealt = dealt.drop("doc_id")
         full = sets.join(C.maybe_broadcast(dealt), ["key", "check"]).select(*group, "id", "label", "tokens")
         return full.repartition(self.parts, *group).sortWithinPartitions(*group, "id").mapInArrow(_settled(self.percent, len(group)), "id bigint, root bigint")
 
     def candidates(self) -> None:
         """Families of what shares signatures: members (root, key, check, id, n, doc_id)."""
         home = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("pivot", "key"))
-        runs = self._signed(self.docs).repartition(self.parts, home).sortWithinPartitions("sig", "n", "key")
-        self.pairs = C.materialize(runs.mapInArrow(_pivots(self.percent), "pivot bigint, node bigint").distinct(), "pairs")
+        found = []
+        for turn in range(self.rounds):
+            runs = self._signed(self.docs, turn).repartition(self.parts, home).sortWithinPartitions("sig", "n", "key")
+            found.append(C.materialize(runs.mapInArrow(_pivots(self.percent), "pivot bigint, node bigint").distinct(), "pairs"))
+        self.pairs = reduce(DataFrame.unionByName, found)
         families = components(self.pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         twins = self.nodes.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key", F.col("key").alias("root"))  # one key, two sets
         families = families.withColumnRenamed("node", "key").unionByName(families.select(F.col("root").alias("key"), "root").distinct())
@@ -514,26 +534,35 @@ class _Join:
         some = large.limit(1).count() > 0  # each has FAMILY_MEMBERS members or FAMILY_TOKENS tokens, so these are few
         label = F.lit(None).cast("bigint").alias("label")
         small = self.members.join(F.broadcast(large), "root", "left_anti") if some else self.members
-        sets = self._texts(small).select("text").mapInArrow(_sets_of(self.words), "key bigint, check bigint, tokens binary")
-        found = C.materialize(self._compared(sets, small.select(F.col("root").alias("family"), "key", "check", "id", label), "family"), "links")
+        found = self._compared(small.select(F.col("root").alias("family"), "key", "check", "id", label, "doc_id"), self.rounds, "family")
         return found.unionByName(self._large(self.members.join(F.broadcast(large), "root", "left_semi"))) if some else found
 
     def _large(self, members: DataFrame) -> DataFrame:
         members = C.materialize(members, "members")
-        texts = self._texts(members)
-        sets = C.materialize(texts.select("text").mapInArrow(_sets_of(self.words), "key bigint, check bigint, tokens binary").join(members.select("key", "check"), ["key", "check"], "left_semi"), "sets")
         # each with its least pivot: chunks of a pivot's members, the pivot in all of them
         least = self.pairs.groupBy(F.col("node").alias("key")).agg(F.min("pivot").alias("pivot"))
-        stars = members.join(least, "key").select("pivot", "key", "check", "id", "n")
+        stars = members.join(least, "key").select("pivot", "key", "check", "id", "n", "doc_id")
         chunks = C.materialize(_parts_of(stars.groupBy("pivot").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))), "chunks")
         label = F.lit(None).cast("bigint").alias("label")
-        dealt = stars.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("chunk"), "key", "check", "id", label)
-        centres = chunks.join(members.withColumnRenamed("key", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.col("pivot").alias("key"), "check", "id", label)
-        first = C.materialize(self._compared(sets, C.materialize(dealt.unionByName(centres), "stars"), "pivot", "chunk"), "links")
+        dealt = stars.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("chunk"), "key", "check", "id", label, "doc_id")
+        centres = chunks.join(members.withColumnRenamed("key", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.col("pivot").alias("key"), "check", "id", label, "doc_id")
+        first = self._compared(C.materialize(dealt.unionByName(centres), "stars"), self.rounds, "pivot", "chunk")
         # what shares a signature and is not joined yet
         joined = components(first.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-        members = C.materialize(members.join(joined.withColumnRenamed("root", "label"), "id", "left").select("key", "check", "id", "n", F.coalesce("label", "id").alias("label")), "members")
-        lists = C.materialize(self._signed(texts, thin=False).select("sig", "key").distinct().join(members, "key"), "lists")
+        members = C.materialize(members.join(joined.withColumnRenamed("root", "label"), "id", "left").select("key", "check", "id", "n", F.coalesce("label", "id").alias("label"), "doc_id"), "members")
+        both = first
+        for turn in range(self.rounds):
+            since = C.mark()
+            dealt = self._open(members, turn)
+            tokens = dealt.agg(F.sum("n")).first()[0] or 0
+            C.free(self.spark, since, keep=1)
+            if tokens:  # so many rounds that each sends sets of about half the input's size
+                both = both.unionByName(self._compared(dealt.drop("n"), -(-8 * tokens // max(1, ROUNDS_FROM, self.bytes // 2)), "sig", "low", "high"))
+        return components(both.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+
+    def _open(self, members: DataFrame, turn: int) -> DataFrame:
+        """Of this turn's signatures those whose sets are in several components: the sets outside the largest one in blocks, dealt to meet one another and that one's."""
+        lists = C.materialize(self._signed(self._texts(members), turn, thin=False).select("sig", "key").distinct().join(members, "key"), "lists")
         of = lists.groupBy("sig", "label").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
         open_ = of.groupBy("sig").agg(F.max_by("label", F.struct("members", "label")).alias("major"), F.count("*").alias("k"), F.max(F.struct("members", "label", "tokens")).alias("most"), F.sum("members").alias("members"), F.sum("tokens").alias("tokens")).filter("k > 1")
         minor = _parts_of(open_.select("sig", (F.col("tokens") - F.col("most.tokens")).alias("tokens"), (F.col("members") - F.col("most.members")).alias("members"))).withColumnRenamed("parts", "minor_parts")
@@ -544,10 +573,7 @@ class _Join:
         rows = rows.withColumn("p", mine)
         last = F.when(F.col("p") < F.col("minor_parts"), F.col("minor_parts") + F.col("major_parts") - 1).otherwise(F.col("minor_parts") - 1)
         rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), last)))
-        dealt = rows.select("sig", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "key", "check", "id", "label")
-        second = C.materialize(self._compared(sets, C.materialize(dealt, "dealt"), "sig", "low", "high"), "links")
-        both = first.unionByName(second).select(F.col("id").alias("a"), F.col("root").alias("b"))
-        return components(both).withColumnRenamed("node", "id")
+        return C.materialize(rows.select("sig", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "key", "check", "id", "label", "n", "doc_id"), "dealt")
 
     def result(self) -> DataFrame:
         self.survey()

@@ -239,3 +239,27 @@ def test_nothing_to_judge(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert not decontaminate.judge(df, none).first()["contaminated"]
     assert decontaminate.judge(df.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"FAMILY_MEMBERS": 6}, {"FAMILY_TOKENS": 300, "LONG_RUN": 3}])
+def test_join_in_rounds_equals_brute_force(spark, monkeypatch, limits):
+    for name, value in {"ROUNDS_FROM": 0, **limits}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(7)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), partitions=3)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "class_size").collect()), key=repr) == brute(rows)
+
+
+def shuffle_bytes(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(found.apply(i).length() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_"))
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    from quarrywise.llm import _common
+    from quarrywise.sources import tables
+
+    for write in (_common.materialize, tables.materialize):
+        before = shuffle_bytes(spark)
+        assert write(spark.range(200_000).repartition(2, "id"), "step").count() == 200_000
+        assert shuffle_bytes(spark) - before < 100_000  # of the write nothing, of the count a few
