@@ -122,3 +122,17 @@ def test_pages_and_chunks_equal_a_plain_model():
                 want.append(text[at:to].strip())
             at = to
         assert [text[a:b] for a, b in S.chunks(text, 0, len(text), 180, 50, 350)] == want
+
+
+def test_html_text_equals_its_sql_on_unfinished_references():
+    import duckdb
+    import pandas as pd
+
+    from quarrywise.plans import catalog
+
+    html = ["<p>a&amp</p><p>b &amp; c&lt;d</p>", "<title>x&amp;lt; &eacute; &copy</title>", '<p>\xa0</p><p>&nbsp;</p><style>p&gt;q{}</style>', "<p>AT&T", "tail &am", None, ""]
+    pages = pd.DataFrame({"page_id": range(len(html)), "url": "u", "html": html})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = dict(con.sql(f"SELECT page_id, text FROM ({catalog.SQL['html_text']})").fetchall())
+    assert catalog._html(pages["html"]).tolist() == [want[i] for i in range(len(html))]
