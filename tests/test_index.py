@@ -277,3 +277,26 @@ def test_diversity_looks_past_a_long_document_and_a_hot_source(spark):
     whole = [r.unit for r in search.diversify(ranked, "source").orderBy("rank").collect()]
     assert got == whole[:8] and [r.unit for r in search.top_diversified(scored, sources, "source", 4).orderBy("rank").collect()] == whole[:4]
     assert search.top_diversified(scored, sources, "source", 0).count() == 0
+
+
+def test_nested_vectors_in_rounds_equal_long_ones(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarrywise.operators import terms
+
+    monkeypatch.setattr(terms, "ROUNDS_FROM", 0)
+    rows = [(1, "red fish blue fish", "a"), (2, "blue fish swim red", "a"), (3, "", "b"), (4, "stone wall red stone", "b"), (1, "wall of blue", "b"), (5, "lonely", "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, g string")
+    counts = terms.term_counts(df, "doc_id", F.col("text"))
+    want = terms.vectors(counts, terms.idf(counts, df), "doc_id")
+    nested = terms.nested_vectors(df, "doc_id", F.col("text"))
+    flat = lambda x: {tuple(r)[:-1]: round(r[-1], 9) for r in x.collect()}
+    assert flat(terms.long_vectors(nested)) == flat(want)
+    members = df.select("doc_id", "g")
+    centres = terms.centroids(want, members, "doc_id", "g")
+    grouped = nested.join(members, "doc_id")
+    assert flat(terms.nested_centroids(grouped, "g").select("g", "term", "weight")) == flat(centres)
+    every = flat(terms.similarity(want, centres, "doc_id", "g"))
+    assert flat(terms.every_similarity(nested, grouped, "doc_id", "g").select("doc_id", "g", "score")) == every
+    own = {(d, g) for d, _, g in rows}
+    assert flat(terms.own_similarity(grouped, "doc_id", "g").select("doc_id", "g", "score")) == {k: v for k, v in every.items() if k in own}
