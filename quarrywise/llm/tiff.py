@@ -275,7 +275,14 @@ def _samples(raw: bytes, lines: int, across: int, samples: int, bits: int, kind:
     return block
 
 
+#: Tags whose values must be whole numbers.
+_NUMBERS = (256, 257, 258, 259, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339)
+
+
 def _page(data: bytes, order: str, tags: dict[int, tuple], most: int = MOST_BYTES) -> Page:
+    for tag in _NUMBERS:
+        if not all(isinstance(x, int) for x in tags.get(tag, ())):
+            raise TiffError(f"tag {tag} is no whole number")
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     bits, compression, predictor, form, planes = one(258, 1), one(259, NONE), one(317, 1), one(339, 1), one(284, 1)

@@ -89,6 +89,16 @@ def test_damaged_files_give_errors_alone(form, changes, cut):
         assert isinstance(found, (tiff.Page, tiff.TiffError))
 
 
+def test_tags_of_another_type_are_errors():
+    for tile in (None, (16, 16)):
+        data = tiff.write([np.ones((40, 33), np.uint8)], tiff.NONE, tile=tile)
+        for tag in (256, 257, 258, 259, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339):
+            for at in (i for i in range(len(data)) if data[i : i + 2] == struct.pack("<H", tag) and data[i + 2 : i + 4] in (b"\3\0", b"\4\0")):
+                for kind in (2, 5, 11, 12):
+                    for found in tiff.scan(data[: at + 2] + struct.pack("<H", kind) + data[at + 4 :]):
+                        assert isinstance(found, (tiff.Page, tiff.TiffError))
+
+
 def test_tags_of_no_size_are_errors():
     data = tiff.write([np.zeros((4, 4), np.uint8)], tiff.NONE)
     for tag in (256, 257, 258, 277, 278, 279):
