@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch handed to Python: about 4 MB of ordinary texts.
+#: Rows and bytes of an Arrow batch handed to Python.
 BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 #: Most bytes that a lookup table may have to be broadcast; beyond, a shuffle join is used.
 BROADCAST_BYTES = 32 << 20
 _written: list[str] = []
@@ -101,7 +105,25 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches small enough that a worker's memory stays bounded with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def trimmed(run):
+    """run, for mapInArrow; once it ends, its worker gives freed memory back to the system.
+
+    Workers stay for the next stages, and what each keeps counts beside what the next one needs.
+    """
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -73,6 +73,15 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _each(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks of any kind, many a call."""
+        found = {}
+        for i in range(0, len(chunks), 1000):
+            some = chunks[i : i + 1000]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            found.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, encoded))
+        return found
+
     def _plain(self, words: list[str]) -> None:
         """Words of letters only, which are one pre-token each."""
         for i in range(0, len(words), 5000):
@@ -80,7 +89,7 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(some):
-                self._put({w: self._ids(w) for w in some})
+                self._put(self._each(some))
                 continue
             raw, ends = ids.tobytes(), (4 * at).tolist()
             self._put({w: raw[i:j] for w, i, j in zip(some, [0, *ends], ends)})
@@ -89,28 +98,37 @@ class WordEncoder:
         self.known.update(found)
         self.size += BYTES_EACH * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
+    def _unknown(self, chunks: set[str]) -> set[str]:
+        """Those of chunks that are not known, once what the older generation has is known again."""
+        known, older = self.known, self.older
+        new = chunks.difference(known)  # looks each of chunks up; a difference from known.keys() would go over all of known
+        if older:
+            missed = new.difference(older)
+            self._put({x: older[x] for x in new.difference(missed)})
+            return missed
+        return new
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Make all of chunks known; the ids of those too long to remember."""
         if self.size > CACHE_BYTES:
             self.older, self.known, self.size = self.known, {}, 0
-        long_ = {x: self._ids(x) for x in chunks if len(x) > LONGEST}
-        older, known = self.older, self.known
-        new = chunks - known.keys()
+        known = self.known
+        new = self._unknown(chunks)
+        long_ = self._each([x for x in new if len(x) > LONGEST])
         new.difference_update(long_)
-        self._put({x: older[x] for x in new & older.keys()})
-        new = [x for x in new if x not in known]
-        plain = {x for x in new if x.isalpha()}
+        plain = set(filter(str.isalpha, new))
+        new -= plain
         tailed = {x: head for x in new if x[-1] in ".,;:!?" and (head := x[:-1]).isalpha()}
-        plain.update(tailed.values())
-        plain = {x for x in plain if x not in known}
-        again = plain & older.keys()
-        self._put({x: older[x] for x in again})
-        self._plain(sorted(plain - again))
-        self._put({x: self._ids(x) for x in {x[-1] for x in tailed} if x not in known})
+        self._plain(list(plain | self._unknown(set(tailed.values()) - plain)))
+        self._put(self._each(list(self._unknown({x[-1] for x in tailed}))))
         self._put({x: known[head] + known[x[-1]] for x, head in tailed.items()})
-        self._put({x: self._ids(x) for x in new if x not in known})
+        self._put(self._each([x for x in new if x not in known]))
         return long_
 
+    def forget(self) -> None:
+        """Give up all that is remembered, at a task's end: most words are new to the next task anyway, and idle workers stay."""
+        self.known, self.older, self.size = {}, {}, 0
+
     def _words(self, text: str) -> list[str] | None:
         """The chunks of a text, or None if it must be encoded whole."""
         if "<|" in text or "\u03a3" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -223,6 +241,7 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder(path).forget()
 
     return run
 
@@ -260,10 +279,10 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = WIN
     kind = documents.schema["doc_id"].dataType.simpleString()
     buckets = C.partitions_for(documents.count(), bucket_rows)
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, salt bigint" + ", ids array<int>" * keep_ids
-    pieces = documents.select("doc_id", C.text_or_empty().alias("text")).mapInArrow(_pieces(tokenizer or default_path(), end_id, capacity, keep_ids), schema)
+    pieces = documents.select("doc_id", C.text_or_empty().alias("text")).mapInArrow(C.trimmed(_pieces(tokenizer or default_path(), end_id, capacity, keep_ids)), schema)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(buckets)))
     dealt = pieces.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(_packed(capacity), schema.replace(" salt bigint,", "").replace(", salt bigint", "") + ", sequence_id bigint, offset bigint")
+    return dealt.mapInArrow(C.trimmed(_packed(capacity)), schema.replace(" salt bigint,", "").replace(", salt bigint", "") + ", sequence_id bigint, offset bigint")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,36 @@ def test_caches_are_bounded_in_bytes(monkeypatch):
         assert sum(map(len, enc.known)) < 60_000 and sum(map(len, counter.known)) < 60_000
 
 
+def test_chunks_are_encoded_many_at_once_and_forgotten(spark):
+    enc, calls = packing.WordEncoder(packing.default_path()), []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.tokenizer, name)
+
+    plain, enc.tokenizer = enc.tokenizer, Counting(enc.tokenizer)
+    texts = [f"a{i}-b{i}, word{i}! (plain) end. " + "long" * 60 for i in range(300)]
+    for text, got in zip(texts, enc.encode(texts)):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 20 and len(enc.known) > 600
+    enc.forget()
+    assert not enc.known and not enc.older and next(enc.encode(texts[:1])).tolist() == plain.encode(texts[0], add_special_tokens=False).ids
+
+    def _remembered(batches):
+        """Words that a worker remembers after its task packed some texts."""
+        for _ in packing._pieces(packing.default_path(), 2, 4096, False)(pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["doc_id", "text"]) for b in batches):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(packing.encoder(packing.default_path()).known)])], names=["n"])
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sizes = df.select("text").mapInArrow(_remembered, "n bigint").collect()
+    assert sum(r.n for r in sizes) == 0
+
+
 def test_overfull_ranges_are_subdivided(spark):
     rows = [(i, "same text") for i in range(600)] + [(1000 + i, "x" * 20_000) for i in range(3)] + [(2000 + i, f"t{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
