@@ -112,12 +112,12 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, most_by
     df = documents.withColumn(into, F.lit(None).cast(FOUND))
     if size <= most_bytes:
         shared = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in items.collect()], width))
-        return df.mapInArrow(_scanner(shared, into), df.schema)
+        return df.mapInArrow(C.trimmed(_scanner(shared, into)), df.schema)
     row, hits = C.fresh(df, "__row"), C.fresh(df, "__hits")
     rows = C.materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = _joined(rows.select(F.col(row).alias("row"), C.text_or_empty().alias("text")), items, width)
     joined = rows.join(found.select(F.col("row").alias(row), F.struct("ranges", "items").alias(hits)), row, "left")
-    return joined.drop(row).mapInArrow(_filled(into, hits), df.schema)
+    return joined.drop(row).mapInArrow(C.trimmed(_filled(into, hits)), df.schema)
 
 
 def _scanner(shared, into: str):
@@ -185,7 +185,7 @@ def _joined(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
                 text = pa.array([words.joined(i, i + k, ALNUM) for i in at.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((at - words.first[row]).astype(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array(values.view(np.int64)), text], names=["row", "i", "k", "value", "words"])
 
-    tried = C.materialize(texts.mapInArrow(passed, "row bigint, i bigint, k int, value bigint, words binary"), "tried")
+    tried = C.materialize(texts.mapInArrow(C.trimmed(passed), "row bigint, i bigint, k int, value bigint, words binary"), "tried")
     key = ["k", "value", "words"]
     ranges = tried.join(known.select(*key).distinct(), key).groupBy("row").agg(F.collect_list(F.struct("i", "k")).alias("ranges"))
     named = tried.select("row", *key).distinct().join(known, key).groupBy("row").agg(F.collect_set("item").alias("items"))

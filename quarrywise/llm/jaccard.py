@@ -202,7 +202,7 @@ def _ranks(surveyed: DataFrame, slots: int, partitions: int) -> np.ndarray:
     out = np.zeros((slots // _PART, _PART), np.uint8)
     whole = parts.agg(F.sum("n")).first()[0]
     if whole:
-        ranked = parts.select("part", "counts").repartition(min(partitions, len(out)), "part").mapInArrow(_ranked(whole / slots), "part int, ranks binary")
+        ranked = parts.select("part", "counts").repartition(min(partitions, len(out)), "part").mapInArrow(C.trimmed(_ranked(whole / slots)), "part int, ranks binary")
         for row in C.materialize(ranked, "ranks").toLocalIterator():
             out[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
     return out.ravel()
@@ -487,7 +487,7 @@ class _Join:
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         slots, since = _slots(self.bytes), C.mark()
         survey = f"doc_id {kind}, rid bigint, key bigint, check bigint, n bigint, part int, counts binary"
-        surveyed = C.materialize(self.docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_survey(self.words, slots), survey), "survey")
+        surveyed = C.materialize(self.docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(C.trimmed(_survey(self.words, slots)), survey), "survey")
         self.ranks = self.spark.sparkContext.broadcast(_ranks(surveyed, slots, self.parts))
         self.rows = C.materialize(surveyed.filter(F.col("part").isNull()).select("doc_id", "rid", "key", "check", "n"), "rows")
         C.free(self.spark, since, keep=1)
@@ -495,7 +495,7 @@ class _Join:
         self.nodes = C.materialize(nodes, "nodes")
 
     def _signed(self, texts: DataFrame, turn: int, thin: bool = True) -> DataFrame:
-        return texts.select("text").mapInArrow(_index(self.ranks, self.words, self.percent, thin, turn, self.rounds), "sig bigint, key bigint, n int, pivot bigint")
+        return texts.select("text").mapInArrow(C.trimmed(_index(self.ranks, self.words, self.percent, thin, turn, self.rounds)), "sig bigint, key bigint, n int, pivot bigint")
 
     def _texts(self, members: DataFrame) -> DataFrame:
         """A document of each member, and others of the same doc_id."""
@@ -508,10 +508,10 @@ class _Join:
         return reduce(DataFrame.unionByName, [C.materialize(self._met(dealt.filter(turn == i) if rounds > 1 else dealt, *group), "links") for i in range(rounds)])
 
     def _met(self, dealt: DataFrame, *group: str) -> DataFrame:
-        sets = self._texts(dealt.select("doc_id").distinct()).select("text").mapInArrow(_sets_of(self.words), "key bigint, check bigint, tokens binary")
+        sets = self._texts(dealt.select("doc_id").distinct()).select("text").mapInArrow(C.trimmed(_sets_of(self.words)), "key bigint, check bigint, tokens binary")
         dealt = dealt.drop("doc_id")
         full = sets.join(C.maybe_broadcast(dealt), ["key", "check"]).select(*group, "id", "label", "tokens")
-        return full.repartition(self.parts, *group).sortWithinPartitions(*group, "id").mapInArrow(_settled(self.percent, len(group)), "id bigint, root bigint")
+        return full.repartition(self.parts, *group).sortWithinPartitions(*group, "id").mapInArrow(C.trimmed(_settled(self.percent, len(group))), "id bigint, root bigint")
 
     def candidates(self) -> None:
         """Families of what shares signatures: members (root, key, check, id, n, doc_id)."""
@@ -519,7 +519,7 @@ class _Join:
         found = []
         for turn in range(self.rounds):
             runs = self._signed(self.docs, turn).repartition(self.parts, home).sortWithinPartitions("sig", "n", "key")
-            found.append(C.materialize(runs.mapInArrow(_pivots(self.percent), "pivot bigint, node bigint").distinct(), "pairs"))
+            found.append(C.materialize(runs.mapInArrow(C.trimmed(_pivots(self.percent)), "pivot bigint, node bigint").distinct(), "pairs"))
         self.pairs = reduce(DataFrame.unionByName, found)
         families = components(self.pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         twins = self.nodes.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key", F.col("key").alias("root"))  # one key, two sets

@@ -173,7 +173,7 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> dict[int, float]:
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return {}
-    counts = sample.select("text", "label").mapInArrow(_counted, "value bigint, pos bigint, neg bigint").groupBy("value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.select("text", "label").mapInArrow(C.trimmed(_counted), "value bigint, pos bigint, neg bigint").groupBy("value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.1) / (sizes[1] + 1)) / ((F.col("neg") + 0.1) / (sizes[0] + 1)))
     least = 2 if sizes[1] < 200 else 3 if sizes[1] < 1000 else 5
     found = counts.withColumn("odds", odds).filter((F.col("pos") >= least) & (F.col("odds") >= 2.5)).orderBy(F.desc(F.col("odds") * F.log1p("pos")), "value").limit(most)
@@ -196,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> M
     sample = C.materialize(_labels.sample(documents, labels, "toxic", each), "labelled")
     lex = lexicon(learn_lexicon(sample.filter("part < 0.4")))
     shared = spark.sparkContext.broadcast(lex)
-    rows = sample.filter("part >= 0.4").select("text", "label", "weight", "part", "tie").mapInArrow(_featured(shared), "label int, weight double, part double, tie bigint, x array<double>").toPandas().sort_values(["part", "tie"])
+    rows = sample.filter("part >= 0.4").select("text", "label", "weight", "part", "tie").mapInArrow(C.trimmed(_featured(shared)), "label int, weight double, part double, tie bigint, x array<double>").toPandas().sort_values(["part", "tie"])
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES))
     y, w = rows["label"].to_numpy(float), rows["weight"].to_numpy(float)
     fitting = rows["part"].to_numpy() < 0.8
@@ -216,7 +216,7 @@ def scored(documents: DataFrame, model, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([score if f.name == column else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     df = documents.withColumn(column, F.lit(None).cast("double"))
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(C.trimmed(run), df.schema)
 
 
 def reject(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
