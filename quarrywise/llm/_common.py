@@ -60,6 +60,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     if not _written:
         atexit.register(free, spark, 0)
     _written.append(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -126,6 +127,23 @@ def trimmed(run):
     return inner
 
 
+def give_back(spark: SparkSession) -> bool:
+    """The driver's JVM gives the memory that its C library has freed and kept back to the system; whether it could.
+
+    Its compilers and codecs free hundreds of MB in the course of many steps, which count beside its heap until then.
+    """
+    try:
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        (call,) = (m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = gateway.new_array(jvm.java.lang.Object, 4)  # the bean, the command, no arguments, no types
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, given)
+        return True
+    except Exception:  # other JVMs have no such command
+        return False
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its values are of at most limit bytes, counted over all its rows, else as it is."""
     size = F.lit(0)

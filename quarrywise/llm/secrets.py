@@ -158,16 +158,19 @@ def markov_spans(text: Column, ratios: list[float]) -> Column:
 def _apart(spans: Column, others: Column) -> Column:
     """Those of spans that no other one overlaps; others begin and end in order."""
 
-    def free(blocks: Column) -> Column:
+    def free(own: Column, blocks: Column) -> Column:
         heads = F.transform(blocks, lambda b: F.element_at(b, 1)["start"])
 
         def alone(x: Column, heads: Column) -> Column:  # of the others that begin before its end, the last ends last
             block = F.get(blocks, F.size(F.filter(heads, lambda h: h < x["end"])) - 1)
             return F.coalesce(~F.exists(block, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])), F.lit(True))
 
-        return _bound(heads, lambda h: F.filter(spans, lambda x: alone(x, h)))
+        return _bound(heads, lambda h: F.filter(own, lambda x: alone(x, h)))
 
-    return F.when((F.size(others) > 0) & (F.size(spans) > 0), _bound(_blocks_of(others), free)).otherwise(spans)
+    def apart(own: Column) -> Column:
+        return F.when((F.size(others) > 0) & (F.size(own) > 0), _bound(_blocks_of(others), lambda blocks: free(own, blocks))).otherwise(own)
+
+    return _bound(spans, apart)  # named once: a plan holds what spans is made of, the models' table too, as often as it is named
 
 
 def find(documents: DataFrame, ratios: list[float]) -> DataFrame:
