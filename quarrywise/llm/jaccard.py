@@ -14,9 +14,13 @@ so a prefix of the ordered tokens that *covers* one more than that must share a
   (Sets of under 16 tokens take single tokens for both classes.)
 
 Whatever share a signature are candidates.  Sorted by signature and size, a run is cut where sizes
-leave a gap that no similar pair spans; the first set of each piece is its pivot, and only
-(pivot, member) rows leave the run.  Long runs are thinned so before the shuffle, in the task that makes
-them, so a signature of very many sets sends few rows to any one task.  What pivots connect is a family;
+leave a gap that no similar pair spans.  A piece of up to PAIRS sets gives its pairs, and how many signatures two sets
+share is counted: of two similar ones, the set whose prefix ends first has at most ``n - o`` tokens that the other one lacks,
+where o is the least intersection of similar sets of their sizes, so the rest of its prefix is shared, if all of it is
+rare.  Pairs that share fewer are dropped; without that, a passage that two long texts have in common would connect
+them as soon as noise makes it look rare.  Of a longer piece the first set is the pivot, and only (pivot, member) rows leave it,
+which stand whatever they share.  Long runs are thinned so before the shuffle, in the task that makes
+them, so a signature of very many sets sends few rows to any one task.  What these rows connect is a family;
 its members' whole token sets meet once, in one task, which verifies candidates by a prefix index of
 its own and never compares what is joined already.
 
@@ -60,13 +64,17 @@ FREQUENT = 128
 #: Signatures that a task holds to thin its own runs, and the length from which it does.
 HELD = 200_000
 LONG_RUN = 64
-#: Rows of an Arrow batch of signatures.
+#: Rows of an Arrow batch of signatures, and of those that are looked at together.
 SENT = 50_000
+#: Sets of the longest run that gives all its pairs.
+PAIRS = 32
+#: Tags of a signature row: all of its set's prefix is rare; its run was thinned.
+_PLAIN, _STAR = 1, 2
 #: Tokens and members of the largest family that one task settles: 16 MB of values.
 FAMILY_TOKENS = 2_000_000
 FAMILY_MEMBERS = 30_000
 #: Rounds (a power of two) in which inputs of over so many bytes of text send signatures and sets.
-ROUNDS = 4
+ROUNDS = 2
 ROUNDS_FROM = 256 << 20
 #: Levels below this one (larger sets of under 16 tokens) take single tokens only.
 _LEAST_LEVEL = 4
@@ -215,10 +223,23 @@ def _level(n: int) -> int:
     return int(n).bit_length() - 1
 
 
+def _prefix(n, percent: int):
+    """How many tokens a prefix of a set of n covers."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _least_shared(a: np.ndarray, a_plain: np.ndarray, b: np.ndarray, b_plain: np.ndarray, percent: int) -> np.ndarray:
+    """The fewest signatures that similar sets of sizes a and b share; plain: all of the prefix is rare."""
+    common = -(-percent * (a + b) // (100 + percent))
+    of_a, of_b = (_prefix(n, percent) - n + common for n in (a, b))
+    both = np.where(a_plain & b_plain, np.minimum(of_a, of_b), np.where(a_plain, of_a, np.where(b_plain, of_b, 1)))
+    return np.maximum(both, 1)
+
+
 def signatures(s: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The signatures of a sorted set, given its tokens' ranks."""
     n = len(s)
-    need = n - (percent * n + 99) // 100 + 1
+    need = _prefix(n, percent)
     order = np.argsort(rank, kind="stable")
     n_rare = int(np.count_nonzero(rank < FREQUENT))
     rare = s[order[: min(n_rare, need)]]
@@ -247,14 +268,16 @@ def signatures(s: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def _thinned(sig: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int):
+def _thinned(sig: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int, *tag: np.ndarray):
     """Signature rows without the inner rows of long runs, and (pivot, node) rows for all of those runs.
 
+    With tags, what is kept of a long run gets _STAR.
+
     Of a long run the first and last row of each bucket of sizes stay, buckets no wider than the gap that cuts runs, so
     a run that is joined to others elsewhere is cut or not cut as the whole would be.
     """
     order = np.lexsort((node, n, sig))
-    sig, node, n = sig[order], node[order], n[order]
+    sig, node, n, *tag = (x[order] for x in (sig, node, n, *tag))
     size = n.astype(np.int64)
     start = np.concatenate(([True], (sig[1:] != sig[:-1]) | (100 * size[:-1] < percent * size[1:])))
     first = np.flatnonzero(start)
@@ -263,24 +286,25 @@ def _thinned(sig: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int):
     long_ = length[run] >= LONG_RUN
     if not long_.any():
         none = np.zeros(0, np.int64)
-        return (sig, node, n), (none, none)
+        return (sig, node, n, *tag), (none, none)
     bucket = np.floor(np.log(size) / (0.999 * np.log(100 / percent))).astype(np.int64)
     edge = np.concatenate(([True], (run[1:] != run[:-1]) | (bucket[1:] != bucket[:-1])))
     keep = ~long_ | edge | np.append(edge[1:], True)
     pivot = node[first][run]
     pairs = np.unique(np.stack([pivot, node], 1)[long_ & (pivot != node)], axis=0)
-    return (sig[keep], node[keep], n[keep]), (pairs[:, 0], pairs[:, 1])
+    return (sig[keep], node[keep], n[keep], *(np.where(long_, x | _STAR, x)[keep] for x in tag)), (pairs[:, 0], pairs[:, 1])
 
 
 def _index(shared, words: int, percent: int, thin: bool = True, turn: int = 0, rounds: int = 1):
-    """text -> (sig, key, n, null) for each signature of this turn, or (0, key, 0, pivot) where a run was thinned."""
+    """text -> (sig, key, n, null, tag) for each signature of this turn, or (0, key, 0, pivot, 0) where a run was thinned."""
 
     def packed(held) -> Iterator[pa.RecordBatch]:
-        sig, node, n = (np.concatenate(x) for x in zip(*held))
-        (sig, node, n), (pivot, other) = _thinned(sig, node, n, percent) if thin else ((sig, node, n), (sig[:0], sig[:0]))
+        sig, node, n, tag = (np.concatenate(x) for x in zip(*held))
+        (sig, node, n, tag), (pivot, other) = _thinned(sig, node, n, percent, tag) if thin else ((sig, node, n, tag), (sig[:0], sig[:0]))
         zero = np.zeros(len(other), np.int64)
         columns = [pa.array(np.concatenate(x)) for x in ((sig, zero), (node, other), (n, zero.astype(np.int32)))]
-        whole = pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(sig), pa.int64()), pa.array(pivot)])], names=["sig", "key", "n", "pivot"])
+        columns += [pa.concat_arrays([pa.nulls(len(sig), pa.int64()), pa.array(pivot)]), pa.array(np.concatenate((tag, zero.astype(np.int8))))]
+        whole = pa.RecordBatch.from_arrays(columns, names=["sig", "key", "n", "pivot", "tag"])
         for i in range(0, len(whole), SENT):
             yield whole.slice(i, SENT)
 
@@ -294,7 +318,8 @@ def _index(shared, words: int, percent: int, thin: bool = True, turn: int = 0, r
                 a, b = bounds[i], bounds[i + 1]
                 sig = signatures(tokens[a:b], rank[a:b], percent)
                 sig = sig[mix(sig) & U(rounds - 1) == U(turn)].view(np.int64)
-                held.append((sig, np.full(len(sig), keys[i], np.int64), np.full(len(sig), b - a, np.int32)))
+                plain = np.count_nonzero(rank[a:b] < FREQUENT) >= _prefix(b - a, percent)
+                held.append((sig, np.full(len(sig), keys[i], np.int64), np.full(len(sig), b - a, np.int32), np.full(len(sig), _PLAIN * plain, np.int8)))
                 rows += len(sig)
                 if rows >= HELD:
                     yield from packed(held)
@@ -305,28 +330,83 @@ def _index(shared, words: int, percent: int, thin: bool = True, turn: int = 0, r
     return run
 
 
-def _pivots(percent: int):
-    """Rows sorted by signature, size and key -> (first key of each piece, other key), some of them repeated; thinned rows pass."""
+def _pivots(percent: int, pairs: int = 0):
+    """Rows sorted by signature, size and key -> (first key of each piece, other key), some of them repeated; thinned rows pass.
+
+    With ``pairs``, pieces of up to so many sets, none of a thinned run, give all pairs that sizes allow, and two columns more: shared,
+    the signatures that a pair shares here, and need, how many it must share in all, 0 for what stands anyway.
+    """
+
+    def packed(pivot, node, shared, need) -> pa.RecordBatch:
+        names = ["pivot", "node", "shared", "need"][: 4 if pairs else 2]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (pivot, node, shared, need)[: len(names)]], names=names)
+
+    def cut(sig, node, n, tag, whole):
+        """What complete pieces give, and the rows of the last piece, or one in place of them, unless the rows are the ``whole`` rest."""
+        size = n.astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (100 * size[:-1] < percent * size[1:]))))
+        star = np.bitwise_or.reduceat(tag, first) & _STAR > 0
+        length = np.diff(np.append(first, len(sig)))
+        star |= length > pairs
+        rest = tuple(x[:0] for x in (sig, node, n, tag))
+        end = len(sig)
+        if not whole:
+            at = first[-1]
+            if star[-1]:  # the pivot stands for all, at the size of the last one
+                rest = sig[at : at + 1], node[at : at + 1], n[-1:], np.array([_STAR], np.int8)
+            else:
+                rest, end = tuple(x[at:] for x in (sig, node, n, tag)), at
+                first, star, length = first[:-1], star[:-1], length[:-1]
+        piece = np.repeat(np.arange(len(first)), length)
+        node, size, plain = node[:end], size[:end], tag[:end] & _PLAIN > 0
+        a, b, shared, need = [], [], [], []
+        pivot = node[first][piece]
+        stars = np.flatnonzero(star[piece] & (pivot != node))
+        a.append(pivot[stars])
+        b.append(node[stars])
+        need.append(np.zeros(len(stars), np.int64))
+        few = np.flatnonzero(~star[piece])
+        few = few[np.concatenate(([True], (piece[few][1:] != piece[few][:-1]) | (node[few][1:] != node[few][:-1])))] if len(few) else few
+        for gap in range(1, pairs):
+            i, j = few[:-gap], few[gap:]
+            same = piece[i] == piece[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            near = 100 * size[i] >= percent * size[j]
+            i, j = i[near], j[near]
+            a.append(node[i])
+            b.append(node[j])
+            need.append(_least_shared(size[i], plain[i], size[j], plain[j], percent))
+        a, b, need = (np.concatenate(x) for x in (a, b, need))
+        order = np.lexsort((need, b, a))
+        a, b, need = a[order], b[order], need[order]
+        edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(edge, len(a)))
+        return (a[edge], b[edge], shared, need[edge]), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held, rows = [], 0
         for batch in batches:
             done = batch.filter(batch.column(3).is_valid())
             if len(done):
-                yield pa.RecordBatch.from_arrays([done.column(3), done.column(1)], names=["pivot", "node"])
+                one = np.ones(len(done), np.int64)
+                yield packed(done.column(3), done.column(1), one, 0 * one)
             batch = batch.filter(batch.column(3).is_null())
-            sig, node, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(sig):
+            if not len(batch):
                 continue
-            gap = 100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64)
-            start = np.concatenate(([last is None or sig[0] != last[0] or 100 * int(last[1]) < percent * int(n[0])], (sig[1:] != sig[:-1]) | gap))
-            first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
-            p = np.where(first >= 0, node[np.maximum(first, 0)], last[2] if last else 0)
-            last = (sig[-1], n[-1], p[-1])
-            other = p != node
-            pairs = np.unique(np.stack([p[other], node[other]], 1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "node"])
+            tag = batch.column(4).to_numpy() if pairs else np.zeros(len(batch), np.int8)
+            held.append((*(batch.column(i).to_numpy() for i in range(3)), tag))
+            rows += len(batch)
+            if rows >= SENT:
+                found, rest = cut(*(np.concatenate(x) for x in zip(*held)), False)
+                held, rows = [rest], len(rest[0])
+                if len(found[0]):
+                    yield packed(*found)
+        if held:
+            found, _ = cut(*(np.concatenate(x) for x in zip(*held)), True)
+            if len(found[0]):
+                yield packed(*found)
 
     return run
 
@@ -495,7 +575,7 @@ class _Join:
         self.nodes = C.materialize(nodes, "nodes")
 
     def _signed(self, texts: DataFrame, turn: int, thin: bool = True) -> DataFrame:
-        return texts.select("text").mapInArrow(C.trimmed(_index(self.ranks, self.words, self.percent, thin, turn, self.rounds)), "sig bigint, key bigint, n int, pivot bigint")
+        return texts.select("text").mapInArrow(C.trimmed(_index(self.ranks, self.words, self.percent, thin, turn, self.rounds)), "sig bigint, key bigint, n int, pivot bigint, tag tinyint")
 
     def _texts(self, members: DataFrame) -> DataFrame:
         """A document of each member, and others of the same doc_id."""
@@ -516,11 +596,14 @@ class _Join:
     def candidates(self) -> None:
         """Families of what shares signatures: members (root, key, check, id, n, doc_id)."""
         home = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("pivot", "key"))
-        found = []
+        found, since = [], C.mark()
         for turn in range(self.rounds):
             runs = self._signed(self.docs, turn).repartition(self.parts, home).sortWithinPartitions("sig", "n", "key")
-            found.append(C.materialize(runs.mapInArrow(C.trimmed(_pivots(self.percent)), "pivot bigint, node bigint").distinct(), "pairs"))
-        self.pairs = reduce(DataFrame.unionByName, found)
+            pairs = runs.mapInArrow(C.trimmed(_pivots(self.percent, PAIRS)), "pivot bigint, node bigint, shared bigint, need bigint")
+            found.append(C.materialize(_counted(pairs), "shared"))
+        pairs = _counted(reduce(DataFrame.unionByName, found)) if len(found) > 1 else found[0]
+        self.pairs = C.materialize(pairs.filter("shared >= need").select("pivot", "node"), "pairs")
+        C.free(self.spark, since, keep=1)
         families = components(self.pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         twins = self.nodes.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key", F.col("key").alias("root"))  # one key, two sets
         families = families.withColumnRenamed("node", "key").unionByName(families.select(F.col("root").alias("key"), "root").distinct())
@@ -589,6 +672,10 @@ class _Join:
         return full.select("doc_id", "n", "component_id", "class_size").unionByName(bare).withColumnRenamed("n", "n_shingles")
 
 
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("pivot", "node").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+
+
 def _parts_of(size: DataFrame, *more: str) -> DataFrame:
     """size (sig or pivot, tokens, members) -> into how many parts each group is cut so that two fit a task."""
     parts = F.ceil(F.greatest(2 * F.col("tokens") / FAMILY_TOKENS, 2 * F.col("members") / FAMILY_MEMBERS)).cast("int")

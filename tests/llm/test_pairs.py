@@ -263,3 +263,47 @@ def test_written_steps_leave_no_shuffle_files(spark):
         before = shuffle_bytes(spark)
         assert write(spark.range(200_000).repartition(2, "id"), "step").count() == 200_000
         assert shuffle_bytes(spark) - before < 100_000  # of the write nothing, of the count a few
+
+
+@pytest.mark.parametrize("limits", [{"PAIRS": 2}, {"PAIRS": 3, "LONG_RUN": 4, "HELD": 200}, {"SENT": 7}, {"ROUNDS_FROM": 0, "SENT": 40}])
+def test_join_by_shared_signatures_equals_brute_force(spark, monkeypatch, limits):
+    """Ranks without any order, as noise makes them: shared passages are in many prefixes."""
+    monkeypatch.setattr(jaccard, "_ranks", lambda surveyed, slots, partitions: np.zeros(slots, np.uint8))
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(40 + len(str(limits)))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_similar_sets_share_enough_signatures():
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 90))
+        a = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        keep = a[rng.permutation(len(a))[: max(1, len(a) - int(rng.integers(0, 1 + len(a) // 5)))]]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 5)), np.uint64)]))
+        inter = len(np.intersect1d(a, b))
+        if 100 * inter < 75 * (len(a) + len(b) - inter):
+            continue
+        salt, low = np.uint64(rng.integers(1, 2**63)), int(rng.integers(1, 256))
+        rank = [(_words.mix(s ^ salt) % np.uint64(low)).astype(np.uint8) for s in (a, b)]
+        size, plain = [np.array([len(s)]) for s in (a, b)], [np.array([np.count_nonzero(r < jaccard.FREQUENT) >= jaccard._prefix(len(s), 75)]) for s, r in zip((a, b), rank)]
+        shared = len(np.intersect1d(jaccard.signatures(a, rank[0]), jaccard.signatures(b, rank[1])))
+        least = int(jaccard._least_shared(size[0], plain[0], size[1], plain[1], 75)[0])
+        met += least > 1
+        assert shared >= least
+    assert met > 300
+
+
+def test_a_common_passage_makes_no_family(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_ranks", lambda surveyed, slots, partitions: np.zeros(slots, np.uint8))
+    r = random.Random(3)
+    text = lambda k: " ".join(f"w{r.randrange(10**9)}" for _ in range(k))
+    passage, copied = text(44), text(200)
+    rows = [(i, text(200) + " " + passage) for i in range(12)] + [(20, copied), (21, copied + " " + text(9))]
+    steps = jaccard._Join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 75, 3)
+    steps.survey()
+    steps.candidates()
+    assert {x.doc_id for x in steps.members.collect()} == {20, 21}
