@@ -15,6 +15,7 @@ remembered.  Repeated rows are counted each.  An empty table gives no rows.  Col
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,7 @@ class Counter:
     """Token counts of pre-tokens, remembered."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads for a few words each cost more than they do
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(PATTERN)

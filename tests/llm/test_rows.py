@@ -1,5 +1,6 @@
 """Packing, sharding, secrets, licences and token counts against brute force."""
 
+import os
 import random
 import re
 import zlib
@@ -317,3 +318,9 @@ def test_counts_of_whole_documents(spark, tmp_path):
         want.append((doc or 0, full(text), full(edited), len(c.split.findall(edited)), token_counts.sha256(edited)))
     got = token_counts.op8_token_counts(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens_before, r.n_tokens, r.n_pretokens, r.text_sha256) for r in got) == sorted(want)
+
+
+def test_counting_starts_no_threads(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    token_counts.Counter(token_counts.default_path())
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
