@@ -16,10 +16,13 @@ table gives no rows.  Only doc_id (any type, null too) and text are read, so oth
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import _common as C
+from . import _words as W
 
 WINDOW = 4096
 END_ID = 2
@@ -39,6 +43,7 @@ BYTES_EACH = 130
 LONGEST = 200
 #: Doc_ids that a task remembers to spread repeated ones.
 MET = 500_000
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _tokenizers: dict[str, "WordEncoder"] = {}
 
 
@@ -51,18 +56,26 @@ def default_path() -> str:
 class WordEncoder:
     """Ids of a tokenizer that lower-cases, drops white space and ends words by tokens of their own.
 
-    Each blank-separated chunk of the lower-cased text is encoded once and remembered as bytes, in two
-    generations, so that what is in use stays.  New plain words are encoded many at once, in one string, and
-    told apart by their ending tokens.  Texts for which this could differ from the tokenizer go to it whole:
+    Blank-separated chunks of many lower-cased texts are told apart by 64-bit values of their bytes; each different one
+    is encoded once and remembered as bytes, in two generations, so that what is in use stays.  New plain words are encoded many at once, in one string, and
+    told apart by their ending tokens; those of long-standing letters, and the pre-tokens of printable ASCII chunks,
+    by the same model without its normalizer and pattern, which leave them as they are.  Texts for which this could differ from the tokenizer go to it whole:
     with special tokens, a capital sigma, separators it does not know, or not in composed form.
     """
 
     #: Characters of texts whose words are looked up together.
-    TOGETHER = 1 << 21
+    TOGETHER = 1 << 22
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    #: Pre-tokens of lower-cased printable ASCII.
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    #: Letters before this one are letters, and lower-cased alike, in every Unicode that a tokenizer may know.
+    NEWER = "\u0500"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        lean = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, self.BYTES]}}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -84,9 +97,27 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> None:
         """Words of letters only, which are one pre-token each."""
+        newer = [w for w in words if not w.isascii() and max(w) >= self.NEWER]
+        self._joined(self.tokenizer, newer)
+        self._joined(self.lean, list(set(words).difference(newer)) if newer else words)
+
+    def _printable(self, chunks: list[str]) -> None:
+        """Chunks of printable ASCII: their pre-tokens, each of which ends by a token of its own, many in one string."""
+        for i in range(0, len(chunks), 5000):
+            some = chunks[i : i + 5000]
+            parts = list(map(self.PIECES.findall, some))
+            ids = np.array(self.lean.encode_batch_fast([" ".join(chain.from_iterable(parts))], add_special_tokens=False)[0].ids, "<u4")
+            at, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(list(map(len, parts)))
+            if len(at) != last[-1]:
+                self._put(self._each(some))
+                continue
+            raw, ends = ids.tobytes(), (4 * at[last - 1]).tolist()
+            self._put({c: raw[i:j] for c, i, j in zip(some, [0, *ends], ends)})
+
+    def _joined(self, tokenizer: Tokenizer, words: list[str]) -> None:
         for i in range(0, len(words), 5000):
             some = words[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(some):
                 self._put(self._each(some))
@@ -122,21 +153,41 @@ class WordEncoder:
         self._plain(list(plain | self._unknown(set(tailed.values()) - plain)))
         self._put(self._each(list(self._unknown({x[-1] for x in tailed}))))
         self._put({x: known[head] + known[x[-1]] for x, head in tailed.items()})
-        self._put(self._each([x for x in new if x not in known]))
+        rest = {x for x in new if x not in known}
+        printable = {x for x in rest if x.isascii() and x.isprintable()}
+        self._printable(list(printable))
+        self._put(self._each(list(rest - printable)))
         return long_
 
     def forget(self) -> None:
         """Give up all that is remembered, at a task's end: most words are new to the next task anyway, and idle workers stay."""
         self.known, self.older, self.size = {}, {}, 0
 
-    def _words(self, text: str) -> list[str] | None:
-        """The chunks of a text, or None if it must be encoded whole."""
+    def _lowered(self, text: str) -> str | None:
+        """The lower-cased text with ASCII white space alone, or None if it must be encoded whole."""
         if "<|" in text or "\u03a3" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
         low = text.lower()
-        if not text.isascii() and not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        if text.isascii():
+            return low
+        if not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
             return None
-        return low.split()
+        return _SPACES.sub(" ", low)
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lower-cased texts one after the other, and where each text's end."""
+        words, _ = W.split(pa.array(texts, pa.large_string()), W.UNSPACED)
+        _, one, which = np.unique(words.value, return_index=True, return_inverse=True)
+        data = words.data.tobytes()
+        chunks = [data[a:b].decode() for a, b in zip(words.start[one].tolist(), words.end[one].tolist())]
+        long_ = self._learn(set(chunks))
+        known = self.known
+        raw = [long_[c] if c in long_ else known[c] for c in chunks] if long_ else list(map(known.__getitem__, chunks))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begin, n = np.cumsum(size) - size, size[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], n)
+        return np.frombuffer(b"".join(raw), "<u4")[at], ends[words.first]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         at = 0
@@ -145,12 +196,10 @@ class WordEncoder:
             while end < len(texts) and (end == at or size + len(texts[end]) <= self.TOGETHER):
                 size += len(texts[end])
                 end += 1
-            split = [self._words(t) for t in texts[at:end]]
-            long_ = self._learn(set().union(*(w for w in split if w)))
-            ids = (lambda w: long_.get(w) or self.known[w]) if long_ else self.known.__getitem__
-            for text, words in zip(texts[at:end], split):
-                raw = self._ids(text) if words is None else b"".join(map(ids, words))
-                yield np.frombuffer(raw, "<u4")
+            low = [self._lowered(t) for t in texts[at:end]]
+            ids, cuts = self._together([t or "" for t in low])
+            for i, t in enumerate(low):
+                yield np.frombuffer(self._ids(texts[at + i]), "<u4") if t is None else ids[cuts[i] : cuts[i + 1]]
             at = end
 
 

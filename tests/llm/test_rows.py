@@ -23,6 +23,17 @@ def test_ids_equal_the_tokenizer():
         assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_each_different_chunk_is_encoded_once_without_the_pattern():
+    """Plain words and printable ASCII chunks went through the whole tokenizer, the chunks one by one."""
+    enc, whole = packing.WordEncoder(packing.default_path()), packing.Tokenizer.from_file(packing.default_path())
+    r = random.Random(4)
+    texts = ["".join(r.choice("aB's 'll 're.,12-_/!?éñя\xa0\u2003\x00") for _ in range(80)) for _ in range(300)] + ["don't stop, it's $5.20 (plain) re-use", "", "naïve слово, end."]
+    seen = []
+    enc.tokenizer = type("Seen", (), {"encode_batch_fast": lambda self, x, **k: seen.extend(x) or whole.encode_batch_fast(x, **k), "encode": lambda self, x, **k: whole.encode(x, **k)})()
+    assert [x.tolist() for x in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) == len(set(seen)) and not any(x.isascii() and x.isprintable() or x.isalpha() for x in seen if len(x) > 1)
+
+
 def test_best_fit_finds_the_tightest_window():
     r = random.Random(2)
     for _ in range(40):
